@@ -67,9 +67,9 @@ def expanding_rank(name: str) -> Column:
 
     The collected past is one number per calendar day of one subject.
     """
-    past = F.collect_list(name).over(past())
-    below = F.size(F.filter(past, lambda v: v < F.col(name)))
-    return F.when(F.col(name).isNotNull() & (F.size(past) >= 2), below / F.size(past))
+    earlier = F.collect_list(name).over(past())
+    below = F.size(F.filter(earlier, lambda v: v < F.col(name)))
+    return F.when(F.col(name).isNotNull() & (F.size(earlier) >= 2), below / F.size(earlier))
 
 
 def with_second_order(df: DataFrame, anchors: list[str] = HISTORY_ANCHORS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from dayfold.functions import arrays as A
 from dayfold.functions.scalar import contains_any, hour_bucket, log1p_floor, to_number
 from dayfold.operators.quantiles import HOT_ROWS, hot_sources, quantile_columns, quantile_parts
-from dayfold.operators.runs import run_statistics, transition_count
+from dayfold.operators.runs import run_statistics, time_slice, transition_count
 from dayfold.schema import ACTIVITY_CODES, AMBIENCE_KEYWORDS, BUCKETS, DAY_KEYS
 
 Parts = list[DataFrame]
@@ -92,7 +92,7 @@ def _on_off_parts(df: DataFrame, column: str, prefix: str, names: dict[str, str]
     )
     order = [F.col("timestamp"), F.col("active")]
     runs = run_statistics(
-        rows, DAY_KEYS, F.col("active"), order, F.col("timestamp"), names["episodes"], names["longest"]
+        rows, DAY_KEYS, F.col("active"), order, time_slice(F.col("timestamp")), names["episodes"], names["longest"]
     )
     return [base, runs]
 
@@ -122,7 +122,7 @@ def activity_parts(df: DataFrame) -> Parts:
     base = base.withColumn("d_mact_entropy", A.entropy(F.array(*[F.col(n) for n in names])))
     order = [F.col("timestamp"), F.col("code")]
     changes = transition_count(
-        rows, DAY_KEYS, F.col("code"), order, F.col("timestamp"), "d_mact_transition_cnt"
+        rows, DAY_KEYS, F.col("code"), order, time_slice(F.col("timestamp")), "d_mact_transition_cnt"
     )
     return [base, changes]
 

@@ -45,10 +45,13 @@ def _slice_edges(islands: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_statistics(
-    df: DataFrame, keys: list[str], flag: Column, order: list[Column], ts: Column, episodes: str, longest: str
+    df: DataFrame, keys: list[str], flag: Column, order: list[Column], piece: Column, episodes: str, longest: str
 ) -> DataFrame:
-    """Number of on-episodes and longest on-run in rows, per group. ``flag`` is 0 or 1."""
-    sliced = df.withColumn("__slice", time_slice(ts))
+    """Number of on-episodes and longest on-run in rows, per group.
+
+    ``flag`` is 0 or 1; ``piece`` numbers the slices and must rise with ``order``.
+    """
+    sliced = df.withColumn("__slice", piece)
     edges = _slice_edges(_slice_islands(sliced, keys, flag.cast("int"), order), keys)
     in_time = Window.partitionBy(*keys).orderBy("__slice")
     joined = (F.col("head") == 1) & (F.lag("tail").over(in_time) == 1)
@@ -73,10 +76,10 @@ def run_statistics(
 
 
 def transition_count(
-    df: DataFrame, keys: list[str], value: Column, order: list[Column], ts: Column, name: str
+    df: DataFrame, keys: list[str], value: Column, order: list[Column], piece: Column, name: str
 ) -> DataFrame:
     """How often a non-null value differs from the one before it, per group."""
-    sliced = df.withColumn("__slice", time_slice(ts))
+    sliced = df.withColumn("__slice", piece)
     edges = _slice_edges(_slice_islands(sliced, keys, value, order), keys)
     in_time = Window.partitionBy(*keys).orderBy("__slice")
     crossing = F.coalesce((F.lag("tail").over(in_time) != F.col("head")).cast("int"), F.lit(0))
@@ -85,11 +88,11 @@ def transition_count(
 
 
 def successive_differences(
-    df: DataFrame, keys: list[str], value: Column, order: list[Column], ts: Column, jump: float
+    df: DataFrame, keys: list[str], value: Column, order: list[Column], piece: Column, jump: float
 ) -> DataFrame:
     """Per group: number of successive differences, sum of squares, count of |diff| >= jump."""
     within = Window.partitionBy(*keys, "__slice").orderBy(*order)
-    sliced = df.withColumn("__slice", time_slice(ts)).withColumn("__value", value)
+    sliced = df.withColumn("__slice", piece).withColumn("__value", value)
     sliced = sliced.withColumn("__seq", F.row_number().over(within)).withColumn(
         "__diff", F.col("__value") - F.lag("__value").over(within)
     )
