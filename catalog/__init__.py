@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["summaries", "tables"]
+MODULES = ["summaries", "tables", "learning"]
 
 
 def all_queries():
