@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["summaries", "tables", "learning"]
+MODULES = ["summaries", "tables", "learning", "blending", "training"]
 
 
 def all_queries():
