@@ -136,8 +136,7 @@ SELECT target, CASE WHEN score > la - 0.01 THEN 0 ELSE weight END AS alpha,
   CASE WHEN score > la - 0.01 THEN la ELSE score END AS score, la AS prior_score
 FROM ({_best(_grid_sql(B.even_grid(0.0, 1.0, 21), '(weight * b + (1 - weight) * a)'))}) g JOIN ({_base}) b USING (target)""")
 def prior_alpha(spark, folder):
-    df = pair(spark, folder).withColumnsRenamed({"a": "b", "b": "a"})  # model: recent, prior: core
-    return B.prior_alpha(df, 0.01)
+    return B.prior_alpha(pair(spark, folder, "recent", "core"), 0.01)  # model: recent, prior: core
 
 
 _small = [0.0, 0.05, 0.1, 0.15, 0.2]

@@ -299,14 +299,14 @@ _power2 = "(1 / pow({d} + 1, 2))"
        _temporal_sql("train_labels", _power2, 7, False))
 def temporal_prior_labelled(spark, folder):
     train = labels(spark, folder, "train")
-    return NB.temporal_prior(train, train, 7, NB.power_kernel(2.0), exclude_same_day=True)
+    return NB.temporal_prior(train, train, {NB.ALL: ("power", 7, 2.0)}, exclude_same_day=True)
 
 
 @query("temporal_prior_unlabelled", "PRI-7 JOIN-8", f"{ROWSPEC} p:d", "train_labels test_labels means",
        _temporal_sql("test_labels", _power2, 7, True))
 def temporal_prior_unlabelled(spark, folder):
     return NB.temporal_prior(
-        labels(spark, folder, "test"), labels(spark, folder, "train"), 7, NB.power_kernel(2.0), exclude_same_day=False)
+        labels(spark, folder, "test"), labels(spark, folder, "train"), {NB.ALL: ("power", 7, 2.0)}, exclude_same_day=False)
 
 
 def _kernel_text(kind: str, value: float) -> str:

@@ -122,9 +122,10 @@ def model_calendar(day: Column | str, subject: Column | str) -> dict[str, Column
 
 
 def log_loss_term(y: Column | str, p: Column | str) -> Column:
-    """Loss of one row; null when label or prediction is missing."""
+    """Loss of one row; null when label or prediction is missing. Binary labels need one logarithm."""
     label, prob = _c(y).cast("double"), probability(p)
-    return -(label * F.ln(prob) + (1.0 - label) * F.ln(1.0 - prob))
+    general = -(label * F.ln(prob) + (1.0 - label) * F.ln(1.0 - prob))
+    return F.when(label == 1.0, -F.ln(prob)).when(label == 0.0, -F.ln(1.0 - prob)).otherwise(general)
 
 
 def compact_text(value: Column | str, limit: int = 220) -> Column:

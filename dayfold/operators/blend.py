@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayfold.functions.scalar import log_loss_term, probability, ratio, temper
+from dayfold.functions.scalar import log_loss_term, logit, probability, ratio, sigmoid, temper
 from dayfold.operators.scoring import log_loss
 from dayfold.operators.selection import first_per
 from dayfold.schema import KEYS, PROB_HIGH, PROB_LOW
@@ -141,13 +141,24 @@ def push(pairs: DataFrame, alphas: Mapping[str, float]) -> DataFrame:
 # ---- grid searches ----------------------------------------------------------
 
 
-def exploded(df: DataFrame, grid: list[dict[str, float]], name: str = "g") -> DataFrame:
-    """Every row once per setting of a literal grid; ``config`` numbers the settings."""
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("config"), *[F.lit(float(v)).alias(k) for k, v in setting.items()])
-        for i, setting in enumerate(grid)
-    ])
-    return df.select("*", F.explode(entries).alias(name))
+def setting(name: str) -> Column:
+    """A parameter of the current grid setting, inside an expression over ``exploded`` rows."""
+    return F.col(f"g_{name}")
+
+
+def _looked_up(grid: list[dict[str, float]]) -> list[Column]:
+    """The parameters of setting number ``config``, read from constant arrays."""
+    def values(name: str) -> Column:
+        text = ",".join(repr(float(s[name])) for s in grid)
+        return F.split(F.lit(text), ",").cast("array<double>")  # folded to a constant by the optimizer
+
+    return [F.element_at(values(k), F.col("config") + 1).alias(f"g_{k}") for k in grid[0]]
+
+
+def exploded(df: DataFrame, grid: list[dict[str, float]]) -> DataFrame:
+    """Every row once per setting of a fixed grid; ``config`` numbers the settings."""
+    numbered = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("config"))
+    return numbered.select("*", *_looked_up(grid))
 
 
 def even_grid(low: float, high: float, points: int) -> list[float]:
@@ -155,19 +166,38 @@ def even_grid(low: float, high: float, points: int) -> list[float]:
     return [low + i * step if i < points - 1 else high for i in range(points)]
 
 
-def grid_scores(rows: DataFrame, p: Column, grid: list[dict[str, float]]) -> DataFrame:
-    """Mean loss of ``p`` (an expression over the setting ``g``) per target and setting."""
-    spread = exploded(rows.where(F.col("y").isNotNull()), grid)
-    scored = spread.groupBy("target", F.col("g.config").alias("config")).agg(F.avg(log_loss_term("y", p)).alias("score"))
-    entries = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in s.items()]) for s in grid])
-    setting = F.element_at(entries, F.col("config") + 1)
-    return scored.select("target", "config", "score", *[setting[k].alias(k) for k in grid[0]])
+def compacted(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Equal (target, y, predictions) rows as one with a count, spread evenly for a heavy step.
+
+    Predictions repeat (priors, trees), so this often shrinks the table a lot; the explicit
+    partition number keeps the adaptive planner from packing the now small table into few tasks
+    before each row meets a thousand settings.
+    """
+    keys = ["target", "y", *columns]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.where(F.col("y").isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    return counted.repartition(parts, *keys)
+
+
+def grid_scores(rows: DataFrame, p: Column, grid: list[dict[str, float]], columns: list[str]) -> DataFrame:
+    """Mean loss of ``p`` per target and setting.
+
+    ``p`` is an expression over the named columns and ``setting`` parameters.
+    """
+    spread = exploded(compacted(rows, columns), grid)
+    sums = spread.select("target", "config", "n", log_loss_term("y", p).alias("loss"))
+    known = F.when(F.col("loss").isNotNull(), F.col("n"))
+    scored = sums.groupBy("target", "config").agg(
+        F.try_divide(F.sum(F.col("loss") * F.col("n")), F.sum(known)).alias("score")
+    )
+    named = scored.select("target", "config", "score", *_looked_up(grid))
+    return named.withColumnsRenamed({f"g_{k}": k for k in grid[0]})
 
 
 def weight_scores(pairs: DataFrame, weights: list[float], clip: bool = False) -> DataFrame:
     """Loss of (1 - w) a + w b for each weight of the grid."""
-    p = mix("a", "b", F.col("g.weight"))
-    return grid_scores(pairs, business(p) if clip else p, [{"weight": w} for w in weights])
+    p = mix("a", "b", setting("weight"))
+    return grid_scores(pairs, business(p) if clip else p, [{"weight": w} for w in weights], ["a", "b"])
 
 
 def base_scores(pairs: DataFrame, names: tuple[str, ...] = ("a", "b")) -> DataFrame:
@@ -298,8 +328,8 @@ def weight_search(wide: DataFrame, runs: list[str], candidates: list[tuple[float
     """
     equal = tuple(1.0 / len(runs) for _ in runs)
     grid = [{f"w{i}": w for i, w in enumerate(c)} for c in [equal, *candidates]]
-    p = sum((F.col(f"g.w{i}") * F.col(r) for i, r in enumerate(runs)), F.lit(0.0))
-    scores = grid_scores(wide, p, grid)
+    p = sum((setting(f"w{i}") * F.col(r) for i, r in enumerate(runs)), F.lit(0.0))
+    scores = grid_scores(wide, p, grid, runs)
     return first_per(scores, ["target"], [F.asc("score"), F.asc("config")]).drop("rank")
 
 
@@ -331,8 +361,10 @@ def calibration_grid() -> list[dict[str, float]]:
 
 def calibration_search(rows: DataFrame, p: str = "p") -> DataFrame:
     """Best (temperature, bias) per target; the identity unless something beats it."""
-    tempered = temper(p, F.col("g.temp"), F.col("g.bias"), PROB_LOW, PROB_HIGH)
-    best = first_per(grid_scores(rows, tempered, calibration_grid()), ["target"], [F.asc("score"), F.asc("config")])
+    logits = rows.withColumn("__z", logit(p))  # once per row, not once per setting
+    tempered = business(sigmoid(setting("temp") * F.col("__z") + setting("bias")))
+    scores = grid_scores(logits, tempered, calibration_grid(), ["__z"])
+    best = first_per(scores, ["target"], [F.asc("score"), F.asc("config")])
     plain = rows.groupBy("target").agg(log_loss("y", p).alias("plain"))
     joined = best.join(plain, "target")
     wins = F.col("score") < F.col("plain")

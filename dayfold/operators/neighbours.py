@@ -7,19 +7,20 @@ per calendar day within the horizon. Keys are unique per subject and day (date r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dayfold.functions.scalar import probability, ratio
-from dayfold.operators.priors import subject_sums
 from dayfold.operators.scoring import global_means
 from dayfold.schema import (
     KEYS, NEIGHBOUR_RANKS, NEIGHBOUR_WINDOWS, PROB_HIGH, PROB_LOW, TARGET_KERNELS,
 )
 
 Kernel = Callable[[Column], Column]
+Setting = tuple[str, int, float]
+ALL = "*"
 
 
 def day_number(day: str = "lifelog_date") -> Column:
@@ -84,21 +85,50 @@ def kernel_average(entries: Column, today: Column, weight: Callable[[Column], Co
     return F.aggregate(entries, zero, add, lambda acc: F.when(acc["w"] > 1e-12, acc["wy"] / acc["w"]))
 
 
+def _near_columns(kernels: Mapping[str, Setting], by: list[str]) -> dict[int, Column]:
+    """One collected frame per distinct horizon; a row only fills the frame of its own target."""
+    horizons: dict[int, list[str]] = {}
+    for target, (_, days, _) in kernels.items():
+        horizons.setdefault(days, []).append(target)
+    return {
+        days: F.collect_list(F.when(_is_target(targets), F.col("ref"))).over(_by_day(by).rangeBetween(-days, days))
+        for days, targets in horizons.items()
+    }
+
+
+def _is_target(targets: list[str]) -> Column:
+    return F.lit(True) if ALL in targets else F.col("target").isin(targets)
+
+
 def local_average(
-    samples: DataFrame, reference: DataFrame, days: int, weight: Kernel, exclude_same_day: bool, by: list[str] = []
+    samples: DataFrame, reference: DataFrame, kernels: Mapping[str, Setting], exclude_same_day: bool,
+    by: list[str] = [],
 ) -> DataFrame:
-    """Kernel mean of the labels within ``days`` of each sample (``local``)."""
+    """Kernel mean of the labels near each sample (``local``) and the subject mean (``subj``).
+
+    ``kernels`` maps a target, or ALL, to (kind, horizon, power or tau). All targets share one
+    exchange and one sort.
+    """
     rows = _day_rows(samples, reference, by)
-    near = F.collect_list("ref").over(_by_day(by).rangeBetween(-days, days))
-    rows = rows.withColumn("__near", near).where("__asked")
-    if exclude_same_day:
-        rows = rows.withColumn("__near", F.filter("__near", lambda e: e["day"] != F.col("__day")))
-    local = kernel_average(F.col("__near"), F.col("__day"), lambda gap: weight(F.abs(gap)))
-    return rows.select(*by, *KEYS, "target", local.alias("local"))
+    near = _near_columns(kernels, by)
+    whole = Window.partitionBy(*by, "subject_id", "target")
+    rows = rows.select(
+        *by, *KEYS, "target", "__day", "__asked",
+        *[c.alias(f"__near{days}") for days, c in near.items()],
+        ratio(F.sum("ref.y").over(whole), F.sum("ref.n").over(whole)).alias("subj"),
+    ).where("__asked")
+    local = F.lit(None).cast("double")
+    for target, (kind, days, value) in kernels.items():
+        entries, weight = F.col(f"__near{days}"), kernel(kind, value)
+        if exclude_same_day:
+            entries = F.filter(entries, lambda e: e["day"] != F.col("__day"))
+        mean = kernel_average(entries, F.col("__day"), lambda gap, w=weight: w(F.abs(gap)))
+        local = mean if target == ALL else F.when(F.col("target") == target, mean).otherwise(local)
+    return rows.select(*by, *KEYS, "target", local.alias("local"), "subj")
 
 
 def temporal_prior(
-    samples: DataFrame, labels: DataFrame, days: int, weight: Kernel, exclude_same_day: bool,
+    samples: DataFrame, labels: DataFrame, kernels: Mapping[str, Setting], exclude_same_day: bool,
     subject_weight: float = 0.05, global_weight: float = 0.05,
 ) -> DataFrame:
     """Mix of the kernel mean, the subject mean (its stand-in when empty) and the global mean.
@@ -106,9 +136,8 @@ def temporal_prior(
     The training variant drops all labels of the sample's own day; the variant for unlabelled
     rows keeps them.
     """
-    local = local_average(samples, labels, days, weight, exclude_same_day)
-    sums = subject_sums(labels).select("subject_id", "target", (F.col("y_sum") / F.col("y_cnt")).alias("subj"))
-    joined = local.join(sums, ["subject_id", "target"], "left").join(F.broadcast(global_means(labels)), "target")
+    local = local_average(samples, labels, kernels, exclude_same_day)
+    joined = local.join(F.broadcast(global_means(labels)), "target")  # one row per target
     subject = F.coalesce("subj", "global_mean")
     main = 1.0 - subject_weight - global_weight
     p = (
@@ -118,82 +147,64 @@ def temporal_prior(
 
 
 def targetwise_temporal_prior(
-    samples: DataFrame, labels: DataFrame, exclude_same_day: bool, kernels: dict = TARGET_KERNELS
+    samples: DataFrame, labels: DataFrame, exclude_same_day: bool, kernels: Mapping[str, Setting] = TARGET_KERNELS
 ) -> DataFrame:
-    """Each target with its own kernel and horizon; targets that share one are computed together."""
-    groups: dict[tuple, list[str]] = {}
-    for target, setting in kernels.items():
-        groups.setdefault(setting, []).append(target)
-    out: DataFrame | None = None
-    for (kind, days, value), targets in groups.items():
-        mine = F.col("target").isin(targets)
-        part = temporal_prior(
-            samples.where(mine), labels.where(mine), days, kernel(kind, value), exclude_same_day
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Each target with its own kernel and horizon, in one pass."""
+    mine = F.col("target").isin(list(kernels))
+    return temporal_prior(samples.where(mine), labels.where(mine), kernels, exclude_same_day)
 
 
 def power_prior(
     samples: DataFrame, reference: DataFrame, days: int, power: float, subject_weight: float,
     future_scale: float = 1.0, global_weight: float = 0.05, by: list[str] = [],
 ) -> DataFrame:
-    """Power-kernel prior with a two-tier horizon.
+    """Power-kernel prior with a two-tier horizon; the sample's own label never counts.
 
-    Labels of the sample's own key never count. Without a label inside the window all labels of
-    the subject count: those samples meet the subject's array of labelled days (one entry per
-    calendar day), not row pairs. ``by`` columns separate independent references.
+    Without a label inside the window all labels of the subject count: those samples meet the
+    subject's array of labelled days (one entry per calendar day), not row pairs. ``by`` columns
+    separate independent references.
     """
-    asked = samples.join(
-        reference.select(*by, *KEYS, "target", F.col("y").alias("__own")), [*by, *KEYS, "target"], "left"
+    part = [*by, "subject_id", "target"]
+    whole = Window.partitionBy(*part)
+    rows = _day_rows(samples, reference, by).select(
+        *by, *KEYS, "target", "__day", "__asked",
+        F.collect_list("ref").over(_by_day(by).rangeBetween(-days, days)).alias("__near"),
+        F.sum("ref.y").over(whole).alias("__y"), F.sum("ref.n").over(whole).alias("__n"),
+    ).where("__asked")
+    other_days = lambda entries: F.filter(entries, lambda e: e["day"] != F.col("__day"))
+    own = F.try_element_at(F.filter("__near", lambda e: e["day"] == F.col("__day")), F.lit(1))
+    rows = rows.select(
+        *by, *KEYS, "target", "__day", other_days(F.col("__near")).alias("__near"),
+        (F.coalesce("__y", F.lit(0.0)) - F.coalesce(own["y"], F.lit(0.0))).alias("__y"),
+        (F.coalesce("__n", F.lit(0)) - F.coalesce(own["n"], F.lit(0))).alias("__n"),
     )
-    rows = _day_rows(samples, reference, by)
-    w = _by_day(by)
-    near = F.collect_list("ref").over(w.rangeBetween(-days, days))
-    near = rows.withColumn("__near", near).where("__asked").select(*by, *KEYS, "target", "__day", "__near")
-    joined = asked.join(near, [*by, *KEYS, "target"])
-
-    def without_own(entries: Column) -> Column:
-        own_day = lambda e: (e["day"] == F.col("__day")) & F.col("__own").isNotNull()
-        rest = lambda e: F.when(
-            own_day(e), F.struct(e["day"].alias("day"), (e["y"] - F.col("__own")).alias("y"), (e["n"] - 1).alias("n"))
-        ).otherwise(e)
-        return F.filter(F.transform(entries, rest), lambda e: e["n"] > 0)
-
-    joined = joined.withColumn("__near", without_own(F.col("__near")))
 
     def weight(gap: Column) -> Column:
         scale = F.when(gap > 0, F.lit(float(future_scale))).otherwise(1.0)
         return scale / F.pow(F.abs(gap) + 1.0, F.lit(float(power)))
 
     labelled = reference.where(F.col("y").isNotNull())
-    sums = labelled.groupBy(*by, "subject_id", "target").agg(
-        F.sum("y").cast("double").alias("y_sum"), F.count("y").alias("y_cnt")
-    )
     means = labelled.groupBy(*by, "target").agg(F.avg("y").alias("global_mean"))
     all_days = (
-        labelled.groupBy(*by, "subject_id", "target", day_number().alias("day"))
+        labelled.groupBy(*part, day_number().alias("day"))
         .agg(F.sum("y").cast("double").alias("y"), F.count("y").alias("n"))
-        .groupBy(*by, "subject_id", "target").agg(F.collect_list(F.struct("day", "y", "n")).alias("__all"))
+        .groupBy(*part).agg(F.collect_list(F.struct("day", "y", "n")).alias("__all"))
     )
-    empty = joined.where(F.size("__near") == 0).select(*by, *KEYS, "target", "__day", "__own")
-    far = empty.join(all_days, [*by, "subject_id", "target"])
-    far = far.select(
-        *by, *KEYS, "target",
-        kernel_average(without_own(F.col("__all")), F.col("__day"), weight).alias("__far"),
+    close = rows.where(F.size("__near") > 0).select(
+        *by, *KEYS, "target", "__y", "__n", kernel_average(F.col("__near"), F.col("__day"), weight).alias("local")
     )
-    full = (
-        joined.withColumn("__local", kernel_average(F.col("__near"), F.col("__day"), weight))
-        .join(far, [*by, *KEYS, "target"], "left")
-        .join(sums, [*by, "subject_id", "target"], "left")
-        .join(F.broadcast(means), [*by, "target"])
+    far = rows.where(F.size("__near") == 0).drop("__near").join(all_days, part, "left").select(
+        *by, *KEYS, "target", "__y", "__n",
+        kernel_average(other_days(F.col("__all")), F.col("__day"), weight).alias("local"),
     )
-    known = F.coalesce(F.col("y_cnt"), F.lit(0)) - F.col("__own").isNotNull().cast("int")
-    subject_mean = ratio(F.col("y_sum") - F.coalesce(F.col("__own"), F.lit(0)), known)
-    local = F.coalesce("__local", "__far", "global_mean")
+    full = close.unionByName(far).join(F.broadcast(means), [*by, "target"])  # one row per reference and target
     temporal_weight = max(0.0, 1.0 - subject_weight - global_weight)
-    mixed = temporal_weight * local + subject_weight * subject_mean + global_weight * F.col("global_mean")
-    p = F.when(known > 0, mixed).otherwise(F.col("global_mean"))
+    mean = F.col("global_mean")
+    mixed = (
+        temporal_weight * F.coalesce("local", "global_mean") + subject_weight * ratio("__y", "__n")
+        + global_weight * mean
+    )
+    p = F.when(F.col("__n") > 0, mixed).otherwise(mean)
     return full.select(*by, *KEYS, "target", probability(p, PROB_LOW, PROB_HIGH).alias("p"))
 
 
