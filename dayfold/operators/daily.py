@@ -64,20 +64,38 @@ def share(condition: Column) -> Column:
 
 
 def merge_parts(parts: Parts, keys: list[str] = DAY_KEYS) -> DataFrame:
-    """Union the parts and keep the one non-null value of every column per key."""
+    """Union the parts and give each key one row.
+
+    A part has one row per key, so its columns travel as one struct and a row touches one
+    aggregate per part, not one per column. A column that several parts carry (the zero of an
+    empty day, the count of a full one) takes its largest value.
+    """
     if len(parts) == 1:
         return parts[0]
-    types = {f.name: f.dataType for p in parts for f in p.schema if f.name not in keys}
-    columns = {c: F.col(c) for c in types}
-    absent = {c: F.lit(None).cast(t).alias(c) for c, t in types.items()}
+    schemas = [p.schema for p in parts]
+    owners: dict[str, list[int]] = {}
+    for i, schema in enumerate(schemas):
+        for field in schema:
+            if field.name not in keys:
+                owners.setdefault(field.name, []).append(i)
+    packed = []
+    for i, (part, schema) in enumerate(zip(parts, schemas)):
+        names = [n for n in schema.names if n not in keys]
+        if names:
+            packed.append(part.select(*keys, F.struct(*names).alias(f"__{i}")))
+        else:
+            packed.append(part.select(*keys).distinct())
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
+    structs = [c for c in stacked.columns if c not in keys]
+    merged = stacked.repartition(*keys).groupBy(*keys).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in structs]
+    )
 
-    def pad(part: DataFrame) -> DataFrame:
-        own = set(part.columns)
-        return part.select(*keys, *[columns[c] if c in own else absent[c] for c in types])
+    def value(name: str) -> Column:
+        found = [F.col(f"__{i}")[name] for i in owners[name]]
+        return found[0] if len(found) == 1 else F.greatest(*found)
 
-    padded = [pad(p) for p in parts]
-    stacked = reduce(DataFrame.unionByName, padded)
-    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in types])
+    return merged.select(*keys, *[value(n).alias(n) for n in owners])
 
 
 def _on_off_parts(df: DataFrame, column: str, prefix: str, names: dict[str, str]) -> Parts:
