@@ -57,8 +57,9 @@ def forward_trees_oof(spark, folder):
 
 @query("trees_by_subject", "ML-7", f"{ROWSPEC} split:s y:d p:d")
 def trees_by_subject(spark, folder):
-    make = lambda t, s: M.boosted_trees_by_subject(FEATURES, s, maxIter=3, maxBins=2048)
-    oof, _ = M.out_of_fold(feature_frame(spark, folder), strata(spark, folder, ["Q1"]), ["Q1"], [42], make)
+    make = lambda t, s: M.boosted_trees([*FEATURES, M.SUBJECT_FEATURE], t, s, **FAST)
+    oof, _ = M.out_of_fold(
+        feature_frame(spark, folder), strata(spark, folder, ["Q1"]), ["Q1"], [42], make, by_subject=True)
     return M.average_runs(oof)
 
 

@@ -17,7 +17,7 @@ from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -70,13 +70,19 @@ def boosted_trees(features: list[str], target: str = "", seed: int = 42, **overr
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees])
 
 
-def boosted_trees_by_subject(features: list[str], seed: int = 42, **overrides) -> Pipeline:
-    """Boosted trees that may split on the subject as a category."""
-    index = StringIndexer(inputCol="subject_id", outputCol="subject_index", handleInvalid="keep")
-    gather = VectorAssembler(inputCols=[*features, "subject_index"], outputCol="raw_features")
-    categories = VectorIndexer(inputCol="raw_features", outputCol="features", maxCategories=31, handleInvalid="keep")
-    settings = {"maxDepth": 3, "stepSize": 0.05, "maxIter": 20, "maxBins": 64} | overrides
-    return Pipeline(stages=[index, gather, categories, GBTClassifier(labelCol="y", seed=seed, **settings)])
+SUBJECT_FEATURE = "subject_prior_feature"
+
+
+def encode_subject(reference: DataFrame, others: list[DataFrame], m: float = 5.0) -> list[DataFrame]:
+    """Subject as a target statistic, the way ordered boosting treats a category.
+
+    Reference rows get the smoothed prior of their subject without themselves, other rows the
+    prior from the reference. An index with one code per subject would have to be collected and
+    would outgrow the bins of the trees; this is two sums per subject.
+    """
+    priors, means = subject_priors(reference, m), global_means(reference)
+    encoded = [leave_one_out_prior(reference, m), *[lookup_prior(rows, priors, means) for rows in others]]
+    return [df.withColumnRenamed("p", SUBJECT_FEATURE) for df in encoded]
 
 
 def random_forest(features: list[str], seed: int = 42, **overrides) -> Pipeline:
@@ -92,14 +98,15 @@ def positive(df: DataFrame) -> Column:
 
 def out_of_fold(
     frame: DataFrame, folds: DataFrame, targets: Iterable[str], seeds: Iterable[int],
-    model: MakeModel, forward: bool = False, with_importance: list[str] | None = None,
+    model: MakeModel, forward: bool = False, with_importance: list[str] | None = None, by_subject: bool = False,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Predictions of every target, seed and fold: (keys, split, target, seed, fold_id, y, p).
 
     ``frame`` is a materialised wide table with split and target columns; ``folds`` has keys,
     target, seed and fold_id of the validation rows. With ``forward`` a fold trains only on rows
     before each subject's validation start. Rows never validated get no prediction. Rows of
-    the test split are predicted by every fold; ``average_runs`` takes the mean.
+    the test split are predicted by every fold; ``average_runs`` takes the mean. ``by_subject``
+    adds the subject as a target statistic of the fold's own training rows.
     """
     spark = frame.sparkSession
     jobs, gains = [], []
@@ -118,13 +125,17 @@ def out_of_fold(
             train = outer_train_rows(rows, manifest, "group_time")
         else:
             train = rows.join(mine.select(*KEYS), KEYS, "left_anti")
+        asked = test.withColumn("y", F.lit(None).cast("double"))
+        if by_subject:
+            named = [df.withColumn("target", F.lit(target)) for df in (train, valid, asked)]
+            train, valid, asked = encode_subject(named[0], named[1:])
         fitted = model(target, seed).fit(train)
         if with_importance is not None:
             values = fitted.stages[-1].featureImportances.toArray().tolist()
             gains.extend((target, seed, fold, f, float(g)) for f, g in zip(with_importance, values))
         tags = [F.lit(target).alias("target"), F.lit(seed).alias("seed"), F.lit(fold).alias("fold_id")]
         held = fitted.transform(valid).select(*KEYS, "split", *tags, F.col("y"), positive(valid).alias("p"))
-        asked = fitted.transform(test.withColumn("y", F.lit(None).cast("double")))
+        asked = fitted.transform(asked)
         return held.unionByName(asked.select(*KEYS, "split", *tags, F.col("y"), positive(asked).alias("p")))
 
     for t, s, f in plan:
