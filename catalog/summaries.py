@@ -420,7 +420,7 @@ FROM (SELECT l_suppkey, day, island, any_value(active) AS active, count(*) AS le
                 CAST(l_quantity > 25 AS INTEGER) AS active FROM lineitem) t0) t1) t2 GROUP BY ALL) t3
 GROUP BY l_suppkey, day""")
 def order_runs_by_subject_day(spark, folder):
-    from dayfold.operators.runs import run_statistics
+    from dayfold.operators.runs import run_statistics, slice_summaries
 
     df = S.table(spark, folder, "lineitem")
     rank = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
@@ -428,4 +428,6 @@ def order_runs_by_subject_day(spark, folder):
         "l_suppkey", F.trunc("l_shipdate", "month").alias("day"), rank.alias("o"),
         (F.col("l_quantity") > 25).cast("int").alias("active"))
     piece = F.floor(F.col("o") / 20_000)
-    return run_statistics(rows, ["l_suppkey", "day"], F.col("active"), [F.col("o")], piece, "episodes", "longest")
+    keys = ["l_suppkey", "day"]
+    slices = slice_summaries(rows, keys, F.col("active"), [F.col("o")], piece)
+    return run_statistics(slices, keys, "episodes", "longest")

@@ -1,8 +1,8 @@
 """Day summaries of the twelve sensor logs.
 
-Every summary is a list of parts keyed by (subject_id, lifelog_date): one algebraic aggregation
-that combines on the map side, plus parts for what needs order (runs), ranks (quantiles) or
-distinct nested values. ``merge_parts`` folds parts into rows with one more exchange of already
+Every summary is a list of parts keyed by (subject_id, lifelog_date): one aggregation that combines
+on the map side (on/off and activity logs reduce ten-minute slices instead, because they need the
+order of rows), plus parts for ranks (quantiles) and distinct nested values. ``merge_parts`` folds parts into rows with one more exchange of already
 reduced data; the full daily table merges the parts of all sensors at once.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from dayfold.functions import arrays as A
 from dayfold.functions.scalar import contains_any, hour_bucket, log1p_floor, to_number
 from dayfold.operators.quantiles import HOT_ROWS, hot_sources, quantile_columns, quantile_parts
-from dayfold.operators.runs import run_statistics, time_slice, transition_count
+from dayfold.operators.runs import run_statistics, slice_hour, slice_summaries, time_slice, transition_count
 from dayfold.schema import ACTIVITY_CODES, AMBIENCE_KEYWORDS, BUCKETS, DAY_KEYS
 
 Parts = list[DataFrame]
@@ -41,8 +41,8 @@ def presence(prefix: str) -> list[Column]:
     Hours and buckets are kept as bit sets, so the distinct counts stay algebraic.
     """
     hour = F.hour("timestamp")
-    hours = F.bit_count(F.bit_or(F.pow(F.lit(2.0), hour).cast("int")))
-    buckets = F.bit_count(F.bit_or(F.pow(F.lit(2.0), F.floor(hour / 6)).cast("int")))
+    hours = F.bit_count(F.bit_or(_bit(hour)))
+    buckets = F.bit_count(F.bit_or(_bit(F.floor(hour / 6))))
     return [
         F.count("*").cast("double").alias(f"d_{prefix}_row_cnt"),
         (hours / 24.0).alias(f"d_{prefix}_coverage_ratio"),
@@ -84,7 +84,7 @@ def merge_parts(parts: Parts, keys: list[str] = DAY_KEYS) -> DataFrame:
         if names:
             packed.append(part.select(*keys, F.struct(*names).alias(f"__{i}")))
         else:
-            packed.append(part.select(*keys).distinct())
+            packed.append(part.select(*keys))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
     structs = [c for c in stacked.columns if c not in keys]
     merged = stacked.repartition(*keys).groupBy(*keys).agg(
@@ -98,21 +98,46 @@ def merge_parts(parts: Parts, keys: list[str] = DAY_KEYS) -> DataFrame:
     return merged.select(*keys, *[value(n).alias(n) for n in owners])
 
 
+def _bit(number: Column) -> Column:
+    return F.pow(F.lit(2.0), number).cast("int")
+
+
+def _slice_presence() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Row count sum and the bit sets of hours and buckets, over slice summaries."""
+    hour = slice_hour()
+    return {"rows": F.col("rows")}, {"hours": _bit(hour), "buckets": _bit(F.floor(hour / 6))}
+
+
+def _presence_columns(prefix: str) -> list[Column]:
+    return [
+        F.col("rows").cast("double").alias(f"d_{prefix}_row_cnt"),
+        (F.bit_count("hours") / 24.0).alias(f"d_{prefix}_coverage_ratio"),
+        F.bit_count("buckets").cast("double").alias(f"d_{prefix}_bucket_present_cnt"),
+    ]
+
+
 def _on_off_parts(df: DataFrame, column: str, prefix: str, names: dict[str, str]) -> Parts:
+    """Totals, shares and runs of an on/off log from one pass over its rows."""
     rows = prepare_events(df.select("subject_id", "timestamp", column))
-    active = (F.coalesce(F.col(column).cast("double"), F.lit(0.0)) > 0).cast("double")
+    active = (F.coalesce(F.col(column).cast("double"), F.lit(0.0)) > 0).cast("int")
     rows = rows.withColumn("active", active)
-    base = rows.groupBy(*DAY_KEYS).agg(
-        *presence(prefix),
-        F.sum("active").alias(names["total"]),
-        F.avg("active").alias(names["share"]),
-        *per_bucket(F.col("active"), F.avg, names["bucket"]),
+    slices = slice_summaries(
+        rows, DAY_KEYS, F.col("active"), [F.col("timestamp"), F.col("active")], time_slice(F.col("timestamp")),
+        {"on": F.col("run_value") * F.col("run_length")},
     )
-    order = [F.col("timestamp"), F.col("active")]
-    runs = run_statistics(
-        rows, DAY_KEYS, F.col("active"), order, time_slice(F.col("timestamp")), names["episodes"], names["longest"]
-    )
-    return [base, runs]
+    sums, bits = _slice_presence()
+    sums["on"] = F.col("on")
+    for i, bucket in enumerate(BUCKETS):
+        inside = F.floor(slice_hour() / 6) == i
+        sums |= {f"rows_{bucket}": F.when(inside, F.col("rows")), f"on_{bucket}": F.when(inside, F.col("on"))}
+    days = run_statistics(slices, DAY_KEYS, names["episodes"], names["longest"], sums, bits)
+    return [days.select(
+        *DAY_KEYS, *_presence_columns(prefix),
+        F.col("on").cast("double").alias(names["total"]),
+        (F.col("on") / F.col("rows")).alias(names["share"]),
+        names["episodes"], names["longest"],
+        *[(F.col(f"on_{b}") / F.col(f"rows_{b}")).alias(f"tb_{b}_{names['bucket']}") for b in BUCKETS],
+    )]
 
 
 def charging_parts(df: DataFrame) -> Parts:
@@ -132,17 +157,21 @@ def screen_parts(df: DataFrame) -> Parts:
 def activity_parts(df: DataFrame) -> Parts:
     rows = prepare_events(df.select("subject_id", "timestamp", "m_activity"))
     rows = rows.withColumn("code", F.coalesce(F.col("m_activity").cast("int"), F.lit(-1)))
-    names = [f"d_mact_code{code}_share" for code in ACTIVITY_CODES]
-    base = rows.groupBy(*DAY_KEYS).agg(
-        *presence("mact"),
-        *[share(F.col("code") == code).alias(name) for code, name in zip(ACTIVITY_CODES, names)],
+    per_code = {
+        f"code{c}": F.when(F.col("run_value") == c, F.col("run_length")).otherwise(0) for c in ACTIVITY_CODES
+    }
+    slices = slice_summaries(
+        rows, DAY_KEYS, F.col("code"), [F.col("timestamp"), F.col("code")], time_slice(F.col("timestamp")), per_code
     )
-    base = base.withColumn("d_mact_entropy", A.entropy(F.array(*[F.col(n) for n in names])))
-    order = [F.col("timestamp"), F.col("code")]
-    changes = transition_count(
-        rows, DAY_KEYS, F.col("code"), order, time_slice(F.col("timestamp")), "d_mact_transition_cnt"
+    sums, bits = _slice_presence()
+    sums |= {n: F.col(n) for n in per_code}
+    days = transition_count(slices, DAY_KEYS, "d_mact_transition_cnt", sums, bits)
+    days = days.select(
+        *DAY_KEYS, *_presence_columns("mact"), "d_mact_transition_cnt",
+        *[(F.col(f"code{c}") / F.col("rows")).alias(f"d_mact_code{c}_share") for c in ACTIVITY_CODES],
     )
-    return [base, changes]
+    shares = F.array(*[F.col(f"d_mact_code{c}_share") for c in ACTIVITY_CODES])
+    return [days.withColumn("d_mact_entropy", A.entropy(shares))]
 
 
 def light_parts(df: DataFrame, column: str, prefix: str, with_buckets: bool, hot_rows: int | None = HOT_ROWS) -> Parts:

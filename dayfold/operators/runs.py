@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 SLICE_MINUTES = 10
 
 
-def time_slice(ts: Column, minutes: int = SLICE_MINUTES) -> Column:
-    return F.floor((F.hour(ts) * 60 + F.minute(ts)) / minutes).cast("int")
+def time_slice(ts: Column) -> Column:
+    """Ten-minute slice of the day; a slice never crosses an hour."""
+    return F.floor((F.hour(ts) * 60 + F.minute(ts)) / SLICE_MINUTES).cast("int")
+
+
+def slice_hour(slice_: Column | str = "slice") -> Column:
+    return F.floor((F.col(slice_) if isinstance(slice_, str) else slice_) * SLICE_MINUTES / 60).cast("int")
 
 
 def _slice_islands(df: DataFrame, keys: list[str], value: Column, order: list[Column]) -> DataFrame:
@@ -31,31 +36,44 @@ def _slice_islands(df: DataFrame, keys: list[str], value: Column, order: list[Co
     )
 
 
-def _slice_edges(islands: DataFrame, keys: list[str]) -> DataFrame:
-    on_len = F.when(F.col("__value") == 1, F.col("__len"))
-    return islands.groupBy(*keys, "__slice").agg(
+def slice_summaries(
+    df: DataFrame, keys: list[str], value: Column, order: list[Column], piece: Column,
+    sums: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row per group and slice: edges of its runs, row count and further sums.
+
+    ``piece`` numbers the slices (``slice`` in the result) and must rise with ``order``. ``sums``
+    are expressions over a run's value and length (``run_value``, ``run_length``), so plain
+    day totals come from the same pass over the rows as the runs.
+    """
+    islands = _slice_islands(df.withColumn("__slice", piece), keys, value, order)
+    islands = islands.withColumnsRenamed({"__value": "run_value", "__len": "run_length", "__slice": "slice"})
+    on_len = F.when(F.col("run_value") == 1, F.col("run_length"))
+    return islands.groupBy(*keys, "slice").agg(
         F.count("*").alias("islands"),
         F.count(on_len).alias("episodes"),
         F.max(on_len).alias("best"),
-        F.min_by("__value", "__island").alias("head"),
-        F.max_by("__value", "__island").alias("tail"),
-        F.min_by("__len", "__island").alias("head_len"),
-        F.max_by("__len", "__island").alias("tail_len"),
+        F.min_by("run_value", "__island").alias("head"),
+        F.max_by("run_value", "__island").alias("tail"),
+        F.min_by("run_length", "__island").alias("head_len"),
+        F.max_by("run_length", "__island").alias("tail_len"),
+        F.sum("run_length").alias("rows"),
+        *[F.sum(c).alias(n) for n, c in (sums or {}).items()],
     )
 
 
 def run_statistics(
-    df: DataFrame, keys: list[str], flag: Column, order: list[Column], piece: Column, episodes: str, longest: str
+    summaries: DataFrame, keys: list[str], episodes: str, longest: str,
+    sums: dict[str, Column] | None = None, bits: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Number of on-episodes and longest on-run in rows, per group.
+    """Number of on-episodes and longest on-run in rows per group, from slices of a 0/1 value.
 
-    ``flag`` is 0 or 1; ``piece`` numbers the slices and must rise with ``order``.
+    ``sums`` and ``bits`` (bit sets) over the slice rows ride along in the same aggregations.
     """
-    sliced = df.withColumn("__slice", piece)
-    edges = _slice_edges(_slice_islands(sliced, keys, flag.cast("int"), order), keys)
-    in_time = Window.partitionBy(*keys).orderBy("__slice")
+    sums, bits = sums or {}, bits or {}
+    in_time = Window.partitionBy(*keys).orderBy("slice")
     joined = (F.col("head") == 1) & (F.lag("tail").over(in_time) == 1)
-    edges = edges.withColumn("__bridge", F.coalesce(joined.cast("int"), F.lit(0)))
+    edges = summaries.withColumn("__bridge", F.coalesce(joined.cast("int"), F.lit(0)))
     # A run over several slices is a chain: tail of the first, whole slices, head of the last.
     edges = edges.withColumn("__whole", (F.col("islands") == 1) & (F.col("head") == 1))
     breaks = F.when((F.col("__bridge") == 1) & F.lag("__whole").over(in_time), 0).otherwise(1)
@@ -68,23 +86,28 @@ def run_statistics(
     chains = edges.groupBy(*keys, "__chain").agg(
         F.sum("__piece").alias("__len"), F.max("best").alias("__best"),
         (F.sum("episodes") - F.sum("__bridge")).alias("__episodes"),
+        *[F.sum(c).alias(n) for n, c in sums.items()], *[F.bit_or(c).alias(n) for n, c in bits.items()],
     )
     return chains.groupBy(*keys).agg(
         F.sum("__episodes").cast("double").alias(episodes),
         F.greatest(F.max("__len"), F.coalesce(F.max("__best"), F.lit(0))).cast("double").alias(longest),
+        *[F.sum(n).alias(n) for n in sums], *[F.bit_or(n).alias(n) for n in bits],
     )
 
 
 def transition_count(
-    df: DataFrame, keys: list[str], value: Column, order: list[Column], piece: Column, name: str
+    summaries: DataFrame, keys: list[str], name: str,
+    sums: dict[str, Column] | None = None, bits: dict[str, Column] | None = None,
 ) -> DataFrame:
     """How often a non-null value differs from the one before it, per group."""
-    sliced = df.withColumn("__slice", piece)
-    edges = _slice_edges(_slice_islands(sliced, keys, value, order), keys)
-    in_time = Window.partitionBy(*keys).orderBy("__slice")
+    in_time = Window.partitionBy(*keys).orderBy("slice")
     crossing = F.coalesce((F.lag("tail").over(in_time) != F.col("head")).cast("int"), F.lit(0))
-    counted = edges.withColumn("__changes", F.col("islands") - 1 + crossing)
-    return counted.groupBy(*keys).agg(F.sum("__changes").cast("double").alias(name))
+    counted = summaries.withColumn("__changes", F.col("islands") - 1 + crossing)
+    return counted.groupBy(*keys).agg(
+        F.sum("__changes").cast("double").alias(name),
+        *[F.sum(c).alias(n) for n, c in (sums or {}).items()],
+        *[F.bit_or(c).alias(n) for n, c in (bits or {}).items()],
+    )
 
 
 def successive_differences(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dayfold.operators.quantiles import exact_quantiles, hot_sources
 from dayfold.operators.ranking import key_digest, rank_in_group
-from dayfold.operators.runs import run_statistics, successive_differences, transition_count
+from dayfold.operators.runs import run_statistics, slice_summaries, successive_differences, transition_count
 
 
 def brute_runs(flags):
@@ -28,10 +28,11 @@ def test_runs_over_slices(spark, share):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, i int, f int")
     piece = F.floor(F.col("i") / 5)
-    runs = run_statistics(df, ["g"], F.col("f"), [F.col("i")], piece, "e", "l")
+    slices = slice_summaries(df, ["g"], F.col("f"), [F.col("i")], piece)
+    runs = run_statistics(slices, ["g"], "e", "l")
     got = {r["g"]: (r["e"], r["l"]) for r in runs.collect()}
     assert got == {g: brute_runs(fs) for g, fs in data.items()}
-    moves = transition_count(df, ["g"], F.col("f"), [F.col("i")], piece, "t")
+    moves = transition_count(slices, ["g"], "t")
     assert {r["g"]: r["t"] for r in moves.collect()} == {
         g: sum(a != b for a, b in zip(fs, fs[1:])) for g, fs in data.items()}
 
