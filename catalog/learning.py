@@ -533,9 +533,8 @@ SELECT target, regr_slope(score, x) AS slope, regr_intercept(score, x) AS interc
 FROM (SELECT *, CASE run WHEN 'core' THEN 0.0::DOUBLE WHEN 'slow' THEN 1.5 ELSE 4.0 END AS x FROM scores) s
 GROUP BY target""")
 def score_line(spark, folder):
-    points = train_scores(spark, folder).withColumn("x", B.by_target({}, 0.0))
     x = F.when(F.col("run") == "core", 0.0).when(F.col("run") == "slow", 1.5).otherwise(4.0)
-    return SC.linear_trend(points.withColumn("x", x), ["target"], "x", "score", 6.5)
+    return SC.linear_trend(train_scores(spark, folder).withColumn("x", x), ["target"], "x", "score", 6.5)
 
 
 @query("score_parabola", "AGG-25", "target:s a:d b:d c:d estimate:d", "scores", """

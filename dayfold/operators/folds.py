@@ -5,8 +5,6 @@ Folds are joined, never looped over. Windows over a subject are bounded by its c
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,8 +191,3 @@ def outer_train_rows(train: DataFrame, manifest: DataFrame, scheme: str) -> Data
 
 def fold_report(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("split_scheme", "fold_id").agg(F.count("*").alias("rows"))
-
-
-def array_chunk_sizes(n: int, k: int) -> list[int]:
-    """Sizes of k near-equal chunks, longer ones first."""
-    return [math.ceil((n - i) / k) for i in range(k)]

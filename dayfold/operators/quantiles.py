@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayfold.functions.scalar import bounded
-
 HOT_ROWS = 4_000_000
 
 
@@ -111,7 +109,3 @@ def spread_quantiles(rows: DataFrame, keys: list[str], quantiles: dict[str, floa
     return chosen.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__name") == name, value)).alias(name) for name in quantiles]
     )
-
-
-def log_floor_values(value: Column) -> Column:
-    return F.log1p(bounded(value, low=0.0))

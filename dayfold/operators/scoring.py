@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayfold.functions.scalar import log_loss_term, probability, ratio
+from dayfold.functions.scalar import log_loss_term, ratio
 from dayfold.schema import KEYS
 
 
@@ -116,7 +116,3 @@ def seen_subject_rate(test: DataFrame, train: DataFrame) -> DataFrame:
     """Share of rows to predict whose subject has training rows."""
     known = train.select("subject_id").distinct().withColumn("__seen", F.lit(1.0))
     return test.join(known, "subject_id", "left").agg(F.avg(F.coalesce("__seen", F.lit(0.0))).alias("seen_rate"))
-
-
-def clipped_output(predictions: DataFrame, low: float, high: float) -> DataFrame:
-    return predictions.withColumn("p", probability("p", low, high))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,7 +160,3 @@ def candidate_ranking(scores: DataFrame, notes: dict[str, tuple[int, str]]) -> D
         F.col("__note.rank").alias("rank"), F.col("run").alias("candidate"),
         F.col("mean").alias("oof_mean"), F.col("__note.notes").alias("notes"),
     )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

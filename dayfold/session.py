@@ -29,17 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master without that setting falls back to a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    current = context.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="dayfold-")
-        context.setCheckpointDir(current)
-    return current.removeprefix("file:").rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if configured is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="dayfold-")
+        context.setCheckpointDir(configured)
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -164,6 +164,14 @@ def test_searches_never_lose_to_the_base(spark):
     assert alpha == {"Q1": 1.0, "S1": 0.0}
 
 
+def test_refined_weights_improve_on_the_grid(spark):
+    rows = [("Q1", 1, 0.9, 0.4), ("Q1", 0, 0.3, 0.1), ("Q1", 1, 0.6, 0.8), ("Q1", 0, 0.2, 0.6)]
+    wide = pairs_frame(spark, rows)
+    first = B.weight_search(wide, ["a", "b"], B.simplex_grid(2, 4))
+    again = B.refined_weight_search(wide, ["a", "b"], first, 0.05).first()
+    assert again["score"] <= first.first()["score"] and again["w0"] + again["w1"] == pytest.approx(1.0)
+
+
 def test_weight_vectors_sum_to_one():
     for w in [*B.simplex_grid(2), *B.simplex_grid(3), *B.random_simplex(4, 5, 1), *B.neighbours_on_simplex((0.5, 0.5), 0.1)]:
         assert sum(w) == pytest.approx(1.0) and min(w) >= -1e-12
