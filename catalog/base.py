@@ -12,6 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Averages can fall exactly between two sixth decimals, where the last bit of a sum would decide the
+# rounding. Both sides move by this much first, which puts such values on one side.
+TIE = 3e-10
+
 SparkQuery = Callable[[SparkSession, str], DataFrame]
 CTES: dict[str, tuple[str, str]] = {}
 QUERIES: dict[str, "Query"] = {}
@@ -56,7 +60,7 @@ def spark_output(df: DataFrame, contract: str) -> DataFrame:
     for name, kind in _items(contract):
         c = F.col(f"`{name}`")
         if kind == "d":
-            r = F.round(c.cast("double"), 6)
+            r = F.round(c.cast("double") + TIE, 6)
             c = F.when(r == 0, F.lit(0.0)).otherwise(r)
         elif kind == "i":
             c = c.cast("bigint")
@@ -71,7 +75,7 @@ def sql_output(body: str, contract: str) -> str:
     for name, kind in _items(contract):
         c = f'"{name}"'
         if kind == "d":
-            r = f"round(CAST({c} AS DOUBLE), 6)"
+            r = f"round(CAST({c} AS DOUBLE) + {TIE!r}, 6)"
             c = f"CASE WHEN {r} = 0 THEN CAST(0 AS DOUBLE) ELSE {r} END"
         elif kind == "i":
             c = f"CAST({c} AS BIGINT)"
