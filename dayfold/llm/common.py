@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dayfold.session import scratch_path
 
@@ -65,5 +66,27 @@ def crc32_fold(column: Column, folds: int = 5) -> Column:
     return F.crc32(column.cast("string")) % folds
 
 
-def binary_array(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
+def labelled_sample(labels: DataFrame, target: str, limit: int) -> DataFrame:
+    """(_id, target) of at most `limit` labelled ids, the first in hash order, from the folds but number 0."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (crc32_fold(F.col("doc_id")) != 0))
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(target).cast("int").alias(target))
+    return rows.orderBy(F.xxhash64("_id"), "_id").limit(limit)
+
+
+def sampled_texts(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataFrame:
+    """(target, text) of the sampled rows; the broadcast side has `limit` rows of 12 bytes at most."""
+    sample = F.broadcast(labelled_sample(labels, target, limit))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(sample, "_id").select(target, "text")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added while the frame has such a column."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
+def schema_with(df: DataFrame, name: str, kind: str) -> StructType:
+    """The frame's schema with one more column."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
