@@ -238,11 +238,11 @@ def row_batch(rows: list[tuple[int, int, bytes]], key: str) -> pa.RecordBatch:
 
 def _phrase_rows(units: Units, group: list[tuple[int, int, int]], doc: np.ndarray, version: np.ndarray, kind: Kind, buckets: int, parts: int) -> list[tuple[int, int, bytes]]:
     text, base, size = (np.array(x) for x in zip(*group))
-    places = ranges(np.concatenate(([0], np.cumsum(units.sizes)))[text] + base, size)
-    p = parse(units.codes[places], size, kind.window, kind.gram)
+    taken = ranges(np.concatenate(([0], np.cumsum(units.sizes)))[text] + base, size)
+    p = parse(units.codes[taken], size, kind.window, kind.gram)
     if not len(p.text):
         return []
-    origin = places[p.first]
+    origin = taken[p.first]
     begin = units.begin[origin]
     length = units.begin[origin + p.windows + kind.window - 1] - begin - kind.words
     data = units.flat[ranges(begin, length)]
@@ -252,7 +252,8 @@ def _phrase_rows(units: Units, group: list[tuple[int, int, int]], doc: np.ndarra
     head = np.concatenate(([True], number[order][1:] != number[order][:-1]))
     owner = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
     repeated = np.empty(len(order), bool)
-    repeated[order] = ~head if kind.words else docs[order] != docs[order][owner]
+    places = (docs, versions, start) if kind.words else (docs,)
+    repeated[order] = np.logical_or.reduce([x[order] != x[order][owner] for x in places])
     spans = [x[repeated] for x in (docs, versions, start, start + p.windows + kind.window - 1)]
     rows = list(span_rows(spans, parts, buckets))
     piece = ((p.trigger >> np.uint64(PLACE_BITS)) % np.uint64(buckets * PIECES)).astype(np.int64)
@@ -321,11 +322,8 @@ def owner_spans(records: Records, number: np.ndarray, windows: np.ndarray, kind:
     order = np.lexsort((records.start, records.version, records.doc, number))
     head = np.flatnonzero(np.concatenate(([True], number[order][1:] != number[order][:-1]))) if len(order) else order
     first = order[head]
-    mine = records.doc[first][number]
-    whole = np.ones(len(number), bool)
-    whole[first] = False
-    if not kind.words:
-        whole = records.doc != mine
+    places = (records.doc, records.version, records.start) if kind.words else (records.doc,)
+    whole = np.logical_or.reduce([x != x[first][number] for x in places])
     end = records.start + windows[number] + kind.window - 1
     return first, [x[whole] for x in (records.doc, records.version, records.start, end)], ~whole
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dayfold.llm.automata import OP5_ORACLE, op5_automaton_dedup
 from dayfold.llm.byte_bpe import op9_byte_bpe
 from dayfold.llm.hosts import op6_url_trust
 from dayfold.llm.packing import op4_packing
@@ -12,7 +13,7 @@ from dayfold.llm.syncmers import op2_syncmers
 from dayfold.llm.toxicity import op7_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_syncmers, op3_suffix_dedup, op4_packing, op6_url_trust, op7_toxicity, op9_byte_bpe, op10_quality_forest,
+    op1_simhash, op2_syncmers, op3_suffix_dedup, op4_packing, op5_automaton_dedup, op6_url_trust, op7_toxicity, op9_byte_bpe, op10_quality_forest,
 )}
 
-ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3_ORACLE}
+ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3_ORACLE, "op5_automaton_dedup": OP5_ORACLE}
