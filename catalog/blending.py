@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import KEYSPEC, columns, cte, dbl, query
@@ -11,6 +14,7 @@ from dayfold.operators import blend as B
 from dayfold.operators import guards as G
 from dayfold.operators import neighbours as NB
 from dayfold.operators import scoring as SC
+from dayfold.operators.daily import DAY_SUMMARIES
 from dayfold.plans import candidate as CP
 from dayfold.schema import KEYS, LABEL_SCHEMA, TARGETS, TARGETWISE_PRIOR_WEIGHTS
 from dayfold.session import scratch_path
@@ -423,7 +427,7 @@ def order_delay_histogram(spark, folder):
         F.to_date("l_shipdate").alias("sleep_date"), F.to_date("o_orderdate").alias("lifelog_date")))
 
 
-_profiles = {"mac": "s_mac", "whr": "s_whr", "mamb": "s_mamb"}
+_profiles = {m: f"s_{m}" for m in DAY_SUMMARIES}  # all twelve logs
 _profile_sql = " UNION ALL ".join(
     f"SELECT '{m}' AS modality, sum(n) AS row_cnt, count(DISTINCT subject_id) AS subjects, "
     f"strftime(min(day), '%Y-%m-%d') AS day_min, strftime(max(day), '%Y-%m-%d') AS day_max, avg(n) AS daily_mean "
@@ -435,7 +439,7 @@ _profilespec = "modality:s row_cnt:i subjects:i day_min:s day_max:s daily_mean:d
 def modality_profiles(spark, folder):
     logs = S.sensor_logs(spark, folder)
     parts = [AU.modality_profile(logs[m], m) for m in _profiles]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("schema_contract", "AUD-3", f"{_profilespec} key_rows:i train_rows:i test_rows:i",
@@ -590,15 +594,17 @@ def prediction_csv(spark, folder):
     return spark.read.schema(out.schema).option("header", True).csv(path)
 
 
-@query("fixed_decimal_csv", "SNK-3", "subject_id:s sleep_date:s lifelog_date:s Q1:d width:i", "wide_test", """
+@query("fixed_decimal_csv", "SNK-3", f"subject_id:s sleep_date:s lifelog_date:s {columns('d', TARGETS)} width:i", "wide_test", f"""
 SELECT subject_id, strftime(sleep_date, '%Y-%m-%d') AS sleep_date, strftime(lifelog_date, '%Y-%m-%d') AS lifelog_date,
-  "Q1", 12 AS width FROM wide_test""")
+  {", ".join(f'"{t}"' for t in TARGETS)}, 84 AS width FROM wide_test""")
 def fixed_decimal_csv(spark, folder):
     out = K.fixed_decimal_output(K.wide_predictions(anchor(spark, folder, "test")))
-    return out.withColumn("width", F.length("Q1")).withColumn("Q1", F.col("Q1").cast("double"))
+    width = sum((F.length(t) for t in TARGETS), F.lit(0))  # twelve characters each
+    return out.withColumn("width", width).withColumns({t: F.col(t).cast("double") for t in TARGETS})
 
 
-@query("write_policies", "SNK-4 AUD-8", "first_write:i second_write:i refused:i row_cnt:i")
+@query("write_policies", "SNK-4 AUD-8", "first_write:i second_write:i refused:i row_cnt:i", "wide_test",
+       "SELECT 1 AS first_write, 0 AS second_write, 1 AS refused, count(*) AS row_cnt FROM wide_test")
 def write_policies(spark, folder):
     path = scratch_path(spark, "once")
     wide = K.clipped_output(K.wide_predictions(anchor(spark, folder, "test")))

@@ -355,12 +355,12 @@ def power_prior(spark, folder):
 
 @query("fold_safe_prior", "PRI-10", f"{ROWSPEC} p:d", "train_labels f_strat", f"""
 WITH own AS (SELECT l.*, f.seed, f.fold_id AS fold FROM train_labels l
-  JOIN f_strat f USING (subject_id, sleep_date, lifelog_date, target) WHERE l.target IN ('Q1', 'S4')),
+  JOIN f_strat f USING (subject_id, sleep_date, lifelog_date, target)),
 ref AS (SELECT o.* EXCLUDE (fold), t.i AS fold FROM own o CROSS JOIN (SELECT unnest(range(5)) AS i) t WHERE t.i <> o.fold),
 pp AS ({_power_sql('own', 'ref', 14, 1.25, 0.15, 1.0, 'seed fold')})
 SELECT subject_id, sleep_date, lifelog_date, target, avg(p) AS p FROM pp GROUP BY ALL""")
 def fold_safe_prior(spark, folder):
-    train = labels(spark, folder, "train").where(F.col("target").isin("Q1", "S4"))
+    train = labels(spark, folder, "train")
     return NB.fold_safe_prior(train, V.stratified_folds(train, 5, _seeds), 14, 1.25, 0.15)
 
 
@@ -580,9 +580,10 @@ def rank_auc(spark, folder):
 # ---- feature scores ----------------------------------------------------------------------------
 
 _features = ["amount", "peak", "d_all_row_cnt", "d_all_coverage_ratio"]
+_target_columns = ", ".join(f'"{t}"' for t in TARGETS)
 cte("long_features", "train_keys amounts", " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, {f} AS x, target, y FROM (SELECT *, unnest(['Q1', 'Q2', 'S4']) AS target, "
-    f"unnest([\"Q1\", \"Q2\", \"S4\"]) AS y FROM train_keys JOIN amounts USING (subject_id, lifelog_date)) t{i}"
+    f"SELECT '{f}' AS feature, {f} AS x, target, y FROM (SELECT *, unnest({TARGETS}) AS target, "
+    f"unnest([{_target_columns}]) AS y FROM train_keys JOIN amounts USING (subject_id, lifelog_date)) t{i}"
     for i, f in enumerate(_features)))
 cte("corrs", "long_features", """
 SELECT target, feature, CASE WHEN count(*) < 3 THEN 0 ELSE coalesce(abs(corr(x, y)), 0) END AS score
@@ -591,8 +592,7 @@ FROM long_features WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY target, featur
 
 def feature_rows(spark, folder):
     table = catalog.tables.C.attach_to_keys(keyed(spark, folder, "train"), catalog.tables.amounts(spark, folder))
-    long = SE.long_features(table, ["Q1", "Q2", "S4"], _features)
-    return long.unpivot(["feature", "x"], ["Q1", "Q2", "S4"], "target", "y")
+    return SE.long_features(table, TARGETS, _features).unpivot(["feature", "x"], TARGETS, "target", "y")
 
 
 @query("feature_correlation", "AGG-24", "target:s feature:s score:d", "corrs", "SELECT * FROM corrs")
@@ -627,7 +627,7 @@ cte("gains", "train_keys amounts", f"""
 SELECT target, feature, seed, abs(corr(x, y)) AS gain FROM (
   SELECT CAST('0x' || substr(md5(concat_ws('|', subject_id, CAST(lifelog_date AS VARCHAR))), 1, 2) AS INTEGER) % 5 AS seed,
     unnest([{", ".join(f"'{f}'" for f in _features)}]) AS feature, unnest([{", ".join(_features)}]) AS x, target, y
-  FROM (SELECT *, unnest(['Q1', 'S4']) AS target, unnest(["Q1", "S4"]) AS y
+  FROM (SELECT *, unnest({TARGETS}) AS target, unnest([{_target_columns}]) AS y
         FROM train_keys JOIN amounts USING (subject_id, lifelog_date)) k) t
 WHERE x IS NOT NULL GROUP BY target, feature, seed""")
 
@@ -636,8 +636,7 @@ def gains(spark, folder):
     table = catalog.tables.C.attach_to_keys(keyed(spark, folder, "train"), catalog.tables.amounts(spark, folder))
     digest = F.md5(F.concat_ws("|", "subject_id", F.col("lifelog_date").cast("string")))
     table = table.withColumn("seed", F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % 5)
-    long = SE.long_features(table, ["Q1", "S4", "seed"], _features)
-    long = long.unpivot(["feature", "x", "seed"], ["Q1", "S4"], "target", "y")
+    long = SE.long_features(table, [*TARGETS, "seed"], _features).unpivot(["feature", "x", "seed"], TARGETS, "target", "y")
     scores = SE.absolute_correlations(long, ["target", "feature", "seed"])
     return scores.withColumnRenamed("score", "gain")
 

@@ -318,7 +318,7 @@ SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS q10, quantile_cont(l
   quantile_cont(l_extendedprice, 0.9) AS q90 FROM lineitem GROUP BY l_returnflag""")
 def hot_group_quantiles(spark, folder):
     df = S.table(spark, folder, "lineitem")
-    return Q.exact_quantiles(df, ["l_returnflag"], F.col("l_extendedprice"), _q, hot_rows=1000)
+    return Q.exact_quantiles(df, ["l_returnflag"], F.col("l_extendedprice"), _q)
 
 
 # ---- nights --------------------------------------------------------------------
@@ -413,9 +413,9 @@ def night_light(spark, folder):
 SELECT l_suppkey, day, sum(CASE WHEN active = 1 THEN 1 ELSE 0 END) AS episodes,
   max(CASE WHEN active = 1 THEN len ELSE 0 END) AS longest
 FROM (SELECT l_suppkey, day, island, any_value(active) AS active, count(*) AS len FROM (
-  SELECT *, sum(CASE WHEN active = prev THEN 0 ELSE 1 END) OVER (PARTITION BY l_suppkey, day ORDER BY o
+  SELECT *, sum(CASE WHEN active = prev THEN 0 ELSE 1 END) OVER (PARTITION BY l_suppkey, day ORDER BY o, active
     ROWS UNBOUNDED PRECEDING) AS island
-  FROM (SELECT *, lag(active) OVER (PARTITION BY l_suppkey, day ORDER BY o) AS prev
+  FROM (SELECT *, lag(active) OVER (PARTITION BY l_suppkey, day ORDER BY o, active) AS prev
         FROM (SELECT l_suppkey, date_trunc('month', l_shipdate)::DATE AS day, l_orderkey * 10 + l_linenumber AS o,
                 CAST(l_quantity > 25 AS INTEGER) AS active FROM lineitem) t0) t1) t2 GROUP BY ALL) t3
 GROUP BY l_suppkey, day""")
@@ -429,5 +429,5 @@ def order_runs_by_subject_day(spark, folder):
         (F.col("l_quantity") > 25).cast("int").alias("active"))
     piece = F.floor(F.col("o") / 20_000)
     keys = ["l_suppkey", "day"]
-    slices = slice_summaries(rows, keys, F.col("active"), [F.col("o")], piece)
+    slices = slice_summaries(rows, keys, F.col("active"), [F.col("o"), F.col("active")], piece)
     return run_statistics(slices, keys, "episodes", "longest")

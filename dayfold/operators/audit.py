@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,16 +58,11 @@ def date_rule_violations(keys: DataFrame) -> DataFrame:
 
 def contract(keys: DataFrame, sensors: dict[str, DataFrame]) -> DataFrame:
     """Profiles of all logs, one row each, next to the key counts."""
-    rows = None
-    for name, df in sensors.items():
-        one = modality_profile(df, name)
-        rows = one if rows is None else rows.unionByName(one)
-    sizes = keys.agg(
-        F.count("*").alias("key_rows"),
-        F.count(F.when(F.col("split") == "train", 1)).alias("train_rows"),
-        F.count(F.when(F.col("split") == "test", 1)).alias("test_rows"),
-    ).withColumn("__j", F.lit(1))
-    return rows.withColumn("__j", F.lit(1)).join(F.broadcast(sizes), "__j").drop("__j")  # one row
+    in_split = lambda name: F.count(F.when(F.col("split") == name, 1))
+    sizes = {"key_rows": F.count("*"), "train_rows": in_split("train"), "test_rows": in_split("test")}
+    counted = keys.agg(F.struct(*[c.alias(n) for n, c in sizes.items()]).alias("sizes")).scalar()
+    rows = reduce(DataFrame.unionByName, [modality_profile(df, name) for name, df in sensors.items()])
+    return rows.withColumn("sizes", counted).select("*", *[F.col("sizes")[n].alias(n) for n in sizes]).drop("sizes")
 
 
 def input_check(df: DataFrame, expected_rows: int, required: list[str] = TARGETS) -> DataFrame:

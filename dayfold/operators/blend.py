@@ -287,13 +287,13 @@ def drift_capped_search(
 
 
 def simplex_grid(k: int, steps: int = 20) -> list[tuple[float, ...]]:
-    """All weight vectors with multiples of 1 / steps (two or three runs)."""
-    if k == 2:
-        return [(i / steps, 1.0 - i / steps) for i in range(steps + 1)]
-    if k == 3:
-        cells = [(i, j) for i in range(steps + 1) for j in range(steps + 1 - i)]
-        return [(i / steps, j / steps, (steps - i - j) / steps) for i, j in cells]
-    return []
+    """All weight vectors of k runs with multiples of 1 / steps."""
+    if k < 1:
+        raise ValueError("a blend needs a run")
+    heads: list[tuple[int, ...]] = [()]
+    for _ in range(k - 1):
+        heads = [(*h, i) for h in heads for i in range(steps - sum(h) + 1)]
+    return [(*(i / steps for i in h), (steps - sum(h)) / steps) for h in heads]
 
 
 def random_simplex(k: int, draws: int, seed: int) -> list[tuple[float, ...]]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dayfold.functions import arrays as A
 from dayfold.functions.scalar import contains_any, hour_bucket, log1p_floor, to_number
-from dayfold.operators.quantiles import HOT_ROWS, hot_sources, quantile_columns, quantile_parts
+from dayfold.operators.quantiles import exact_quantiles
 from dayfold.operators.runs import run_statistics, slice_hour, slice_summaries, time_slice, transition_count
 from dayfold.schema import ACTIVITY_CODES, AMBIENCE_KEYWORDS, BUCKETS, DAY_KEYS
 
@@ -174,7 +174,7 @@ def activity_parts(df: DataFrame) -> Parts:
     return [days.withColumn("d_mact_entropy", A.entropy(shares))]
 
 
-def light_parts(df: DataFrame, column: str, prefix: str, with_buckets: bool, hot_rows: int | None = HOT_ROWS) -> Parts:
+def light_parts(df: DataFrame, column: str, prefix: str, with_buckets: bool) -> Parts:
     rows = prepare_events(df.select("subject_id", "timestamp", column))
     rows = rows.withColumn("v", F.coalesce(to_number(column), F.lit(0.0)))
     logged = log1p_floor("v")
@@ -185,12 +185,11 @@ def light_parts(df: DataFrame, column: str, prefix: str, with_buckets: bool, hot
         F.stddev_pop("v").alias(f"d_{prefix}_std"),
         share(F.col("v") <= 0).alias(f"d_{prefix}_zero_share"),
         *(per_bucket(logged, F.avg, f"{prefix}_log_mean") if with_buckets else []),
-        *quantile_columns(logged, ranks, hot_rows),
     )
-    return [base, *quantile_parts(rows, DAY_KEYS, logged, ranks, hot_rows)]
+    return [base, exact_quantiles(rows, DAY_KEYS, logged, ranks)]
 
 
-def pedometer_parts(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> Parts:
+def pedometer_parts(df: DataFrame) -> Parts:
     wanted = ["step", "distance", "speed", "burned_calories"]
     rows = prepare_events(df.select("subject_id", "timestamp", *wanted))
     rows = rows.select(
@@ -207,12 +206,11 @@ def pedometer_parts(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> Parts:
         F.avg(F.when(active, F.col("speed"))).alias("d_wpedo_speed_mean_active"),
         F.sum("burned_calories").alias("d_wpedo_calories_sum"),
         *per_bucket(F.col("step"), F.sum, "wpedo_step_sum"),
-        *quantile_columns(F.col("speed"), ranks, hot_rows),
     )
-    return [base, *quantile_parts(rows, DAY_KEYS, F.col("speed"), ranks, hot_rows)]
+    return [base, exact_quantiles(rows, DAY_KEYS, F.col("speed"), ranks)]
 
 
-def heart_rate_parts(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> Parts:
+def heart_rate_parts(df: DataFrame) -> Parts:
     rows = prepare_events(df.select("subject_id", "timestamp", "heart_rate"))
     samples = A.numbers(A.or_empty(F.col("heart_rate"), "array<double>"))
     rows = rows.withColumn("samples", samples)
@@ -229,9 +227,8 @@ def heart_rate_parts(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> Parts:
         F.max("hr_max").alias("d_whr_max"),
         F.sum("hr_count").alias("d_whr_valid_sample_cnt"),
         *per_bucket(F.col("hr_mean"), F.avg, "whr_mean"),
-        *quantile_columns(F.col("hr_mean"), ranks, hot_rows),
     )
-    return [base, *quantile_parts(rows, DAY_KEYS, F.col("hr_mean"), ranks, hot_rows)]
+    return [base, exact_quantiles(rows, DAY_KEYS, F.col("hr_mean"), ranks)]
 
 
 def gps_points(df: DataFrame) -> DataFrame:
@@ -252,7 +249,7 @@ def gps_points(df: DataFrame) -> DataFrame:
     )
 
 
-def gps_parts(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> Parts:
+def gps_parts(df: DataFrame) -> Parts:
     rows = gps_points(prepare_events(df.select("subject_id", "timestamp", "m_gps")))
     height = F.max("lat_max") - F.min("lat_min")
     width = F.max("lon_max") - F.min("lon_min")
@@ -265,9 +262,8 @@ def gps_parts(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> Parts:
         F.sum("point_cnt").alias("d_mgps_point_cnt"),
         F.sqrt(height * height + width * width).alias("d_mgps_extent"),
         *per_bucket(F.col("speed_mean"), F.avg, "mgps_speed_mean"),
-        *quantile_columns(F.col("speed_mean"), ranks, hot_rows),
     )
-    return [base, *quantile_parts(rows, DAY_KEYS, F.col("speed_mean"), ranks, hot_rows)]
+    return [base, exact_quantiles(rows, DAY_KEYS, F.col("speed_mean"), ranks)]
 
 
 def _distinct_part(rows: DataFrame, items: str, outputs: dict[str, Column]) -> DataFrame:
@@ -345,7 +341,7 @@ def usage_snapshots(df: DataFrame) -> DataFrame:
     )
 
 
-def usage_parts(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> Parts:
+def usage_parts(df: DataFrame) -> Parts:
     rows = usage_snapshots(prepare_events(df.select("subject_id", "timestamp", "m_usage_stats")))
     ranks = {"d_muse_sum_log_total_time_p90": 0.9}
     base = rows.groupBy(*DAY_KEYS).agg(
@@ -355,12 +351,11 @@ def usage_parts(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> Parts:
         F.avg("log_sum").alias("d_muse_sum_log_total_time_mean"),
         F.avg("log_max").alias("d_muse_max_log_total_time_mean"),
         *_zero_filled(["d_muse_unique_app_cnt"]),
-        *quantile_columns(F.col("log_sum"), ranks, hot_rows),
     )
     per_app = rows.groupBy(*DAY_KEYS, "top_app").agg(F.count("*").alias("n"))
     top = per_app.groupBy(*DAY_KEYS).agg((F.max("n") / F.sum("n")).alias("d_muse_top1_app_share"))
     apps = _distinct_part(rows, "m_usage_stats", {"d_muse_unique_app_cnt": A.clean_app(F.col("item.app_name"))})
-    return [base, top, apps, *quantile_parts(rows, DAY_KEYS, F.col("log_sum"), ranks, hot_rows)]
+    return [base, top, apps, exact_quantiles(rows, DAY_KEYS, F.col("log_sum"), ranks)]
 
 
 def ambience_tops(df: DataFrame) -> DataFrame:
@@ -395,7 +390,6 @@ def ambience_parts(df: DataFrame) -> Parts:
     return [base, labels]
 
 
-RANKED_SUMMARIES = {"mlight", "wlight", "wpedo", "whr", "mgps", "muse"}  # those with quantiles
 DAY_SUMMARIES: dict[str, Callable[..., Parts]] = {
     "mac": charging_parts,
     "mscreen": screen_parts,
@@ -417,14 +411,6 @@ def day_summary(modality: str, df: DataFrame) -> DataFrame:
     return merge_parts(DAY_SUMMARIES[modality](df))
 
 
-def summary_parts(sensors: dict[str, DataFrame], hot_rows: int = HOT_ROWS) -> Parts:
-    """Parts of all sensors. One narrow count decides which of them need the hot-group quantiles."""
-    ranked = {
-        m: prepare_events(df.select("subject_id", "timestamp")) for m, df in sensors.items() if m in RANKED_SUMMARIES
-    }
-    hot = hot_sources(ranked, DAY_KEYS, hot_rows) if ranked else set()
-    parts: Parts = []
-    for m, df in sensors.items():
-        extra = {"hot_rows": hot_rows if m in hot else None} if m in RANKED_SUMMARIES else {}
-        parts += DAY_SUMMARIES[m](df, **extra)
-    return parts
+def summary_parts(sensors: dict[str, DataFrame]) -> Parts:
+    """Parts of all sensors."""
+    return [part for m, df in sensors.items() for part in DAY_SUMMARIES[m](df)]

@@ -107,7 +107,3 @@ def target_views(
     if unknown:
         raise ValueError(f"unknown feature views: {unknown}")
     return mapping
-
-
-def sequence_features(df: DataFrame, limit: int = 256) -> list[str]:
-    return numeric_columns(df)[:limit]

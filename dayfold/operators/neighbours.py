@@ -59,14 +59,14 @@ def neighbour_pairs(samples: DataFrame, reference: DataFrame, days: int, keep_sa
     return left.join(right, ["subject_id", "bin"]).where(close).select(*KEYS, "near", gap.alias("gap"))
 
 
-def _day_rows(samples: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
-    """Samples and labelled reference days in one frame; reference rows carry ``ref``."""
+def _day_rows(samples: DataFrame, reference: DataFrame, by: list[str], apart: list[str] = []) -> DataFrame:
+    """Samples and labelled reference days in one frame; reference rows carry ``ref``, with the ``apart`` column if any."""
     labelled = reference.where(F.col("y").isNotNull()).withColumn("__day", day_number())
-    per_day = labelled.groupBy(*by, "subject_id", "target", "__day").agg(
-        F.struct(F.col("__day").alias("day"), F.sum("y").cast("double").alias("y"), F.count("y").alias("n"))
+    per_day = labelled.groupBy(*by, *apart, "subject_id", "target", "__day").agg(
+        F.struct(F.col("__day").alias("day"), F.sum("y").cast("double").alias("y"), F.count("y").alias("n"), *apart)
         .alias("ref")
     )
-    asked = samples.select(*by, *KEYS, "target", day_number().alias("__day"), F.lit(True).alias("__asked"))
+    asked = samples.select(*by, *apart, *KEYS, "target", day_number().alias("__day"), F.lit(True).alias("__asked"))
     return asked.unionByName(per_day, allowMissingColumns=True)
 
 
@@ -156,25 +156,32 @@ def targetwise_temporal_prior(
 
 def power_prior(
     samples: DataFrame, reference: DataFrame, days: int, power: float, subject_weight: float,
-    future_scale: float = 1.0, global_weight: float = 0.05, by: list[str] = [],
+    future_scale: float = 1.0, global_weight: float = 0.05, by: list[str] = [], apart: str | None = None,
 ) -> DataFrame:
     """Power-kernel prior with a two-tier horizon; the sample's own label never counts.
 
     Without a label inside the window all labels of the subject count: those samples meet the
     subject's array of labelled days (one entry per calendar day), not row pairs. ``by`` columns
-    separate independent references.
+    separate independent references. Reference rows whose ``apart`` column (a fold) equals the
+    sample's do not count: sums are totals less those of the own fold, so no row is copied per fold.
     """
-    part = [*by, "subject_id", "target"]
-    whole = Window.partitionBy(*part)
-    rows = _day_rows(samples, reference, by).select(
-        *by, *KEYS, "target", "__day", "__asked",
+    part, extra = [*by, "subject_id", "target"], [apart] if apart else []
+    whole, mine = Window.partitionBy(*part), Window.partitionBy(*part, *extra)
+    rows = _day_rows(samples, reference, by, extra).select(
+        *by, *extra, *KEYS, "target", "__day", "__asked",
         F.collect_list("ref").over(_by_day(by).rangeBetween(-days, days)).alias("__near"),
         F.sum("ref.y").over(whole).alias("__y"), F.sum("ref.n").over(whole).alias("__n"),
+        F.sum("ref.y").over(mine).alias("__own_y"), F.sum("ref.n").over(mine).alias("__own_n"),
     ).where("__asked")
-    other_days = lambda entries: F.filter(entries, lambda e: e["day"] != F.col("__day"))
-    own = F.try_element_at(F.filter("__near", lambda e: e["day"] == F.col("__day")), F.lit(1))
+
+    def other_days(entries: Column) -> Column:
+        elsewhere = lambda e: e[apart] != F.col(apart) if apart else F.lit(True)
+        return F.filter(entries, lambda e: (e["day"] != F.col("__day")) & elsewhere(e))
+
+    today = F.try_element_at(F.filter("__near", lambda e: e["day"] == F.col("__day")), F.lit(1))
+    own = {c: F.col(f"__own_{c}") if apart else today[c] for c in ("y", "n")}
     rows = rows.select(
-        *by, *KEYS, "target", "__day", other_days(F.col("__near")).alias("__near"),
+        *by, *extra, *KEYS, "target", "__day", other_days(F.col("__near")).alias("__near"),
         (F.coalesce("__y", F.lit(0.0)) - F.coalesce(own["y"], F.lit(0.0))).alias("__y"),
         (F.coalesce("__n", F.lit(0)) - F.coalesce(own["n"], F.lit(0))).alias("__n"),
     )
@@ -184,20 +191,24 @@ def power_prior(
         return scale / F.pow(F.abs(gap) + 1.0, F.lit(float(power)))
 
     labelled = reference.where(F.col("y").isNotNull())
-    means = labelled.groupBy(*by, "target").agg(F.avg("y").alias("global_mean"))
+    sums = labelled.groupBy(*by, *extra, "target").agg(F.sum("y").alias("sy"), F.count("y").alias("sn"))
+    if apart:  # the mean of all other folds
+        total = Window.partitionBy(*by, "target")
+        sums = sums.select(*by, apart, "target", *[(F.sum(c).over(total) - F.col(c)).alias(c) for c in ("sy", "sn")])
+    means = sums.select(*by, *extra, "target", ratio("sy", "sn").alias("global_mean"))
     all_days = (
-        labelled.groupBy(*part, day_number().alias("day"))
+        labelled.groupBy(*part, *extra, day_number().alias("day"))
         .agg(F.sum("y").cast("double").alias("y"), F.count("y").alias("n"))
-        .groupBy(*part).agg(F.collect_list(F.struct("day", "y", "n")).alias("__all"))
+        .groupBy(*part).agg(F.collect_list(F.struct("day", "y", "n", *extra)).alias("__all"))
     )
     close = rows.where(F.size("__near") > 0).select(
-        *by, *KEYS, "target", "__y", "__n", kernel_average(F.col("__near"), F.col("__day"), weight).alias("local")
+        *by, *extra, *KEYS, "target", "__y", "__n", kernel_average(F.col("__near"), F.col("__day"), weight).alias("local")
     )
     far = rows.where(F.size("__near") == 0).drop("__near").join(all_days, part, "left").select(
-        *by, *KEYS, "target", "__y", "__n",
+        *by, *extra, *KEYS, "target", "__y", "__n",
         kernel_average(other_days(F.col("__all")), F.col("__day"), weight).alias("local"),
     )
-    full = close.unionByName(far).join(F.broadcast(means), [*by, "target"])  # one row per reference and target
+    full = close.unionByName(far).join(means, [*by, *extra, "target"])
     temporal_weight = max(0.0, 1.0 - subject_weight - global_weight)
     mean = F.col("global_mean")
     mixed = (
@@ -205,7 +216,7 @@ def power_prior(
         + global_weight * mean
     )
     p = F.when(F.col("__n") > 0, mixed).otherwise(mean)
-    return full.select(*by, *KEYS, "target", probability(p, PROB_LOW, PROB_HIGH).alias("p"))
+    return full.select(*by, *extra, *KEYS, "target", probability(p, PROB_LOW, PROB_HIGH).alias("p"))
 
 
 def fold_safe_prior(
@@ -214,17 +225,14 @@ def fold_safe_prior(
 ) -> DataFrame:
     """Out-of-fold power prior, averaged over seeds.
 
-    ``folds`` assigns every labelled key to one fold per target and seed. Reference rows are
-    those of the other folds: each labelled row is offered to the k - 1 folds it may serve.
+    ``folds`` assigns every labelled key to one fold per target and seed, whatever the number of folds.
+    Reference rows are those of the other folds.
     """
     on = [*KEYS, "target"]
     assigned = labels.join(folds.select(*on, "seed", F.col("fold_id").alias("fold")), on)
-    ids = sorted(r["fold_id"] for r in folds.select("fold_id").distinct().collect())  # k rows
-    offered = assigned.select(*on, "y", "seed", "fold", F.explode(F.array(*[F.lit(i) for i in ids])).alias("to"))
-    reference = offered.where(F.col("to") != F.col("fold")).drop("fold").withColumnRenamed("to", "fold")
     predicted = power_prior(
-        assigned.select(*on, "seed", "fold"), reference, days, power, subject_weight,
-        future_scale, global_weight, by=["seed", "fold"],
+        assigned.select(*on, "seed", "fold"), assigned, days, power, subject_weight,
+        future_scale, global_weight, by=["seed"], apart="fold",
     )
     return predicted.groupBy(*on).agg(F.avg("p").alias("p"))
 

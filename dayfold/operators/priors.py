@@ -31,7 +31,7 @@ def subject_priors(
 ) -> DataFrame:
     """(sum + m * global) / (count + m) per subject and target."""
     sums = subject_sums(train, subject, by)
-    joined = sums.join(F.broadcast(global_means(train, by)), [*by, "target"])
+    joined = sums.join(global_means(train, by), [*by, "target"])
     prior = smoothed(F.col("y_sum"), F.col("y_cnt"), F.col("global_mean"), m)
     return joined.select(*by, subject, "target", prior.alias("prior"))
 
@@ -40,7 +40,7 @@ def lookup_prior(
     rows: DataFrame, priors: DataFrame, means: DataFrame, subject: str = "subject_id", by: list[str] = []
 ) -> DataFrame:
     """Subject prior, or the global mean for an unseen subject, clipped to a probability."""
-    joined = rows.join(priors, [*by, subject, "target"], "left").join(F.broadcast(means), [*by, "target"])
+    joined = rows.join(priors, [*by, subject, "target"], "left").join(means, [*by, "target"])
     p = probability(F.coalesce("prior", "global_mean"))
     return joined.withColumn("p", p).drop("prior", "global_mean")
 
@@ -74,7 +74,7 @@ def half_life_priors(train: DataFrame, m: float, half_life: float | None, by: li
     sums = with_age(labelled, by).groupBy(*by, "subject_id", "target").agg(
         F.sum(w * F.col("y")).alias("wy"), F.sum(w).alias("w")
     )
-    joined = sums.join(F.broadcast(global_means(labelled, by)), [*by, "target"])
+    joined = sums.join(global_means(labelled, by), [*by, "target"])
     prior = smoothed(F.col("wy"), F.col("w"), F.col("global_mean"), m)
     return joined.select(*by, "subject_id", "target", prior.alias("prior"))
 
@@ -96,7 +96,7 @@ def prior_grid_scores(outer_train: DataFrame, valid: DataFrame) -> DataFrame:
     held = valid.where(F.col("y").isNotNull()).groupBy(*grain).agg(
         F.sum("y").cast("double").alias("hits"), F.count("y").alias("n")
     )
-    joined = held.join(sums, grain, "left").join(F.broadcast(means), ["fold_id", "target"])
+    joined = held.join(sums, grain, "left").join(means, ["fold_id", "target"])
     settings = F.array(*[
         F.struct(
             F.lit(9 * mi + hi).alias("config"), F.lit(m).alias("m"), F.lit(h).cast("double").alias("half_life"),
@@ -118,7 +118,7 @@ def evaluate_prior(train: DataFrame, valid: DataFrame, m: float = SUBJECT_SMOOTH
     priors, means = subject_priors(train, m, by=["fold_id"]), global_means(train, ["fold_id"])
     scored = valid.where(F.col("y").isNotNull())
     scored = scored.join(priors, ["fold_id", "subject_id", "target"], "left").join(
-        F.broadcast(means), ["fold_id", "target"]
+        means, ["fold_id", "target"]
     )
     return scored.groupBy("target").agg(
         F.avg(log_loss_term("y", F.coalesce("prior", "global_mean"))).alias("prior_score"),

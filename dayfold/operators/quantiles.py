@@ -1,111 +1,66 @@
-"""Exact grouped quantiles that survive a hot group.
-
-The built-in ``percentile`` keeps every distinct value of a group in one buffer. That is the
-right plan for ordinary groups. A group above ``hot_rows`` rows takes another exact way: its
-values are counted, spread over log-linear value buckets, and only the buckets that hold a
-wanted rank are ordered. No task then sees more than one bucket of one group.
+"""Exact grouped quantiles by rank selection over ordered value buckets.
+
+There is one way for every group size. Equal values of a group are counted first, which combines before the
+shuffle. A value's bucket is the head of its floating-point form (sign, exponent, leading digits of the
+mantissa), so buckets are ordered and equally fine at every magnitude. The buckets that hold a wanted rank
+are found from bucket counts, then split once more by further digits, and only the values of such a fine
+bucket are ordered. No task sees more than one fine bucket of one group, and the log is read twice: once for
+all counts, and once for the values of the wanted buckets, which the scan filters by.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 4_000_000
-
-
-def value_bucket(value: Column) -> Column:
-    """Monotone bucket number: 64 steps per doubling, mirrored for negatives."""
-    steps = F.floor(F.log2(F.abs(value) + 1.0) * 64.0)
-    return F.when(value < 0, -steps - 1).otherwise(steps)
-
-
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: Column, quantiles: dict[str, float], hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """One row per group with linearly interpolated quantiles (nulls ignored).
-
-    At most ``rows / hot_rows`` groups can be hot, so the list of hot groups that is broadcast
-    stays about a million times smaller than the data.
-    """
-    rows = df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).select(*keys)
-    hot = F.broadcast(hot)
-    ordinary = inline_quantiles(rows.join(hot, keys, "left_anti"), keys, F.col("__v"), quantiles)
-    return ordinary.unionByName(spread_quantiles(rows.join(hot, keys, "left_semi"), keys, quantiles))
-
-
-def quantile_columns(value: Column, quantiles: dict[str, float], hot_rows: int | None) -> list[Column]:
-    """Quantiles as plain aggregates, for callers that checked the group sizes (hot_rows None)."""
-    if hot_rows is not None:
-        return []
-    return [F.percentile(value, F.lit(q)).alias(name) for name, q in quantiles.items()]
-
-
-def quantile_parts(
-    df: DataFrame, keys: list[str], value: Column, quantiles: dict[str, float], hot_rows: int | None
-) -> list[DataFrame]:
-    """Quantiles as a separate part, for callers that did not check the group sizes."""
-    return [] if hot_rows is None else [exact_quantiles(df, keys, value, quantiles, hot_rows)]
-
-
-def hot_sources(sources: dict[str, DataFrame], keys: list[str], hot_rows: int = HOT_ROWS) -> set[str]:
-    """Names of the sources that have a group above ``hot_rows``: one narrow count over all.
-
-    Collects at most one row per source.
-    """
-    tagged = [df.select(F.lit(name).alias("__source"), *keys) for name, df in sources.items()]
-    stacked = reduce(DataFrame.unionByName, tagged)
-    sizes = stacked.groupBy("__source", *keys).agg(F.count("*").alias("__n"))
-    hot = sizes.where(F.col("__n") > hot_rows).select("__source").distinct()
-    return {row["__source"] for row in hot.collect()}
-
-
-def inline_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: dict[str, float]) -> DataFrame:
-    picked = F.percentile(value, F.array(*[F.lit(q) for q in quantiles.values()])).alias("__q")
-    out = df.groupBy(*keys).agg(picked)
-    return out.select(*keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(quantiles)])
-
-
-def spread_quantiles(rows: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Rank selection over value buckets; ``rows`` has the keys and ``__v``."""
-    counted = (
-        rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
-        .withColumn("__b", value_bucket(F.col("__v")))
-    )
-    by_group = Window.partitionBy(*keys)
-    buckets = (
-        counted.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
-        .withColumn("__n", F.sum("__bc").over(by_group))
-        .withColumn("__start", F.sum("__bc").over(by_group.orderBy("__b")) - F.col("__bc"))
-    )
-    wanted = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in quantiles.items()])
-    )
+#: Steps per doubling of the coarse and of the fine buckets.
+COARSE, FINE = 256, 256 * 4096
+
+
+def value_bucket(value: Column, steps: int = COARSE) -> Column:
+    """Monotone bucket number with ``steps`` steps per doubling, mirrored for negatives; zero has its own."""
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    # just under a power of two the logarithm may round up; the step then falls on the last one below
+    step = F.floor(size / F.pow(F.lit(2.0), exponent) * steps) - steps
+    number = (exponent + 1100) * steps + step
+    found = F.when(value == 0, F.lit(0)).when(value < 0, -number).otherwise(number).cast("bigint")
+    return F.coalesce(found, F.lit(0))  # never null, so no step adds a filter of its own to the shared scan
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: dict[str, float]) -> DataFrame:
+    """One row per group that has a value, with linearly interpolated quantiles; nulls and null keys are ignored."""
+    rows = df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    rows = rows.dropna(subset=keys)
+    counted = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+    counted = counted.select("*", value_bucket(F.col("__v")).alias("__b"), value_bucket(F.col("__v"), FINE).alias("__f"))
+    coarse = _starts(counted.groupBy(*keys, "__b").agg(F.sum("__c").alias("__c")), keys, "__b")
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()]))
     position = (F.col("__n") - 1) * F.col("__w.q")
-    ranks = buckets.select("*", wanted.alias("__w")).select(
-        *keys, "__b", "__start", "__bc", F.col("__w.name").alias("__name"),
-        F.floor(position).alias("__lo"), F.ceil(position).alias("__hi"),
-        (position - F.floor(position)).alias("__part"),
-    )
-    end = F.col("__start") + F.col("__bc")
-    hit = lambda rank: (rank >= F.col("__start")) & (rank < end)
-    ranks = ranks.where(hit(F.col("__lo")) | hit(F.col("__hi")))
-    in_bucket = Window.partitionBy(*keys, "__b", "__name").orderBy("__v")
-    placed = (
-        counted.join(ranks, [*keys, "__b"])
-        .withColumn("__to", F.col("__start") + F.sum("__c").over(in_bucket))
-        .withColumn("__from", F.col("__to") - F.col("__c"))
-    )
-    at = lambda rank: F.max(
-        F.when((rank >= F.col("__from")) & (rank < F.col("__to")), F.col("__v"))
-    )
-    chosen = placed.groupBy(*keys, "__name").agg(
-        at(F.col("__lo")).alias("__a"), at(F.col("__hi")).alias("__z"), F.max("__part").alias("__p")
-    )
-    value = F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__p")
-    return chosen.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__name") == name, value)).alias(name) for name in quantiles]
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), f(position).alias("rank")) for s, f in (("lo", F.floor), ("hi", F.ceil))])
+    ranks = coarse.select(*keys, "__b", "__from", "__to", "__n", wanted.alias("__w")).select(
+        *keys, "__b", "__from", "__to", F.col("__w.name").alias("__name"), (position - F.floor(position)).alias("__part"), F.explode(sides).alias("__r")
     )
+    ranks = ranks.where((F.col("__r.rank") >= F.col("__from")) & (F.col("__r.rank") < F.col("__to")))
+    ranks = ranks.select(*keys, "__b", "__name", "__part", F.col("__r.side").alias("__side"), (F.col("__r.rank") - F.col("__from")).alias("__rank"))
+    ranks = _narrowed(counted.groupBy(*keys, "__b", "__f").agg(F.sum("__c").alias("__c")), ranks, [*keys, "__b"], "__f")
+    chosen = _narrowed(counted, ranks, [*keys, "__b", "__f"], "__v")
+    at = lambda name, side: F.max(F.when((F.col("__name") == name) & (F.col("__side") == side), F.col("__v")))
+    part = lambda name: F.max(F.when(F.col("__name") == name, F.col("__part")))
+    return chosen.groupBy(*keys).agg(*[(at(n, "lo") + (at(n, "hi") - at(n, "lo")) * part(n)).alias(n) for n in quantiles])
+
+
+def _starts(counts: DataFrame, group: list[str], by: str) -> DataFrame:
+    """Adds the ranks [__from, __to) that each row of counts covers in its group, and the group's size __n."""
+    whole = Window.partitionBy(*group)
+    to = F.sum("__c").over(whole.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select("*", to.alias("__to"), (to - F.col("__c")).alias("__from"), F.sum("__c").over(whole).alias("__n"))
+
+
+def _narrowed(counts: DataFrame, ranks: DataFrame, group: list[str], by: str) -> DataFrame:
+    """The ranks, placed into the ``by`` of their group that covers them and counted from its start."""
+    some = ranks.select(*group).distinct()
+    placed = _starts(counts.join(some, group, "left_semi"), group, by)
+    found = placed.select(*group, by, "__from", "__to").join(ranks, group)
+    found = found.where((F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
+    return found.select(*group, by, "__name", "__part", "__side", (F.col("__rank") - F.col("__from")).alias("__rank"))

@@ -68,9 +68,8 @@ def drift(pairs: DataFrame, mean_limit: float, max_limit: float, names: tuple[st
 def compare_runs(predictions: DataFrame, dummy: str) -> DataFrame:
     """Mean, deviation and gain over the dummy run for every run."""
     macro = macro_scores(target_scores(predictions))
-    base = macro.where(F.col("run") == dummy).select(F.lit(1).alias("__j"), F.col("mean").alias("__dummy"))
-    joined = macro.withColumn("__j", F.lit(1)).join(F.broadcast(base), "__j")  # one row
-    return joined.select("run", "mean", "std", (F.col("__dummy") - F.col("mean")).alias("improvement"))
+    base = macro.where(F.col("run") == dummy).select("mean").scalar()
+    return macro.select("run", "mean", "std", (base - F.col("mean")).alias("improvement"))
 
 
 def linear_trend(points: DataFrame, by: list[str], x: str, y: str, at: float) -> DataFrame:

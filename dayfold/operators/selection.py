@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayfold.operators.quantiles import exact_quantiles
 from dayfold.functions.scalar import finite, ratio
 
 
@@ -121,10 +122,7 @@ def usable_features(long: DataFrame, missing_limit: float = 0.95, variance_floor
 
 def feature_medians(long: DataFrame) -> DataFrame:
     """Exact medians per feature by rank selection over value buckets: a feature has a value per row."""
-    from dayfold.operators.quantiles import spread_quantiles
-
-    rows = long.select("feature", finite("x").alias("__v")).where(F.col("__v").isNotNull())
-    return spread_quantiles(rows, ["feature"], {"median": 0.5})
+    return exact_quantiles(long, ["feature"], finite("x"), {"median": 0.5})
 
 
 def top_importances(importances: DataFrame, view: list[str], top_k: int = 50, by: list[str] = ["target"]) -> DataFrame:

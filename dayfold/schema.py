@@ -54,6 +54,7 @@ AMBIENCE_KEYWORDS = {
 FEATURE_VIEWS = ["public_core", "public_full", "public_notebook", "public_hist365", "public_hist411"]
 VIEW_PRESETS = {
     "histmix_guarded_v1": {"Q2": "public_hist411", "Q3": "public_hist365", "S4": "public_hist411"},
+    "histmix_guarded_v1_tuned": {"Q2": "public_hist411", "Q3": "public_hist365", "S4": "public_hist411"},
     "histmix_q2s4_v1": {"Q2": "public_hist411", "S4": "public_hist411"},
     "histmix_q2q3_v1": {"Q2": "public_hist411", "Q3": "public_hist365"},
     "histmix_q3s4_v1": {"Q3": "public_hist365", "S4": "public_hist411"},

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +67,12 @@ def fixed_decimal_output(wide: DataFrame) -> DataFrame:
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists in its own file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Header CSV; an existing output is never overwritten."""
     df.write.mode("errorifexists").option("header", True).csv(path)
@@ -79,11 +84,10 @@ def write_csv_idempotent(df: DataFrame, path: str, tolerance: float = 1e-12) ->
     Returns whether something was written.
     """
     spark = df.sparkSession
-    try:
-        header = spark.read.option("header", True).csv(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         write_csv(df, path)
         return True
+    header = spark.read.option("header", True).csv(path)
     if header.columns != df.columns:
         raise ValueError(f"existing output has other columns: {path}")
     old = spark.read.schema(df.schema).option("header", True).csv(path)
@@ -115,11 +119,10 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def upsert_log(spark: SparkSession, path: str, new: DataFrame, key: str = "experiment_name") -> None:
     """Upsert as a new snapshot folder, so a failed write never harms the last good one."""
-    try:
-        snapshots = spark.read.parquet(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         new.withColumn("snapshot", F.lit(1)).write.partitionBy("snapshot").parquet(path)
         return
+    snapshots = spark.read.parquet(path)
     last = snapshots.agg(F.max("snapshot")).first()[0]
     merged = upserted(snapshots.where(F.col("snapshot") == last).drop("snapshot"), new, key)
     merged.write.mode("errorifexists").parquet(f"{path}/snapshot={last + 1}")

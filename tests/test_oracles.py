@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tests.conftest import DATA
+DATA = "/root/testdata/sf0.01"
 from tools.check import TABLES, differences
 
 ORACLES = entry.oracle_sql()

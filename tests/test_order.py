@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dayfold.operators.quantiles import exact_quantiles, hot_sources
+from dayfold.operators.quantiles import COARSE, FINE, exact_quantiles, value_bucket
 from dayfold.operators.ranking import key_digest, rank_in_group
 from dayfold.operators.runs import run_statistics, slice_summaries, successive_differences, transition_count
 
@@ -47,25 +47,38 @@ def test_differences_over_slices(spark):
     assert row["diff_sq"] == pytest.approx(float((d * d).sum()))
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10_000])
-def test_quantiles_both_ways(spark, hot_rows):
+def test_quantiles(spark):
     rng = random.Random(1)
     groups = {
         "wide": [rng.gauss(0, 50) for _ in range(501)], "ties": [float(rng.randint(-2, 2)) for _ in range(300)],
-        "one": [3.5], "two": [-1.0, 2.0], "big": [rng.lognormvariate(3, 2) for _ in range(1000)],
+        "one": [3.5], "two": [-1.0, 2.0], "big": [rng.lognormvariate(3, 2) for _ in range(1000)], "zero": [0.0, -0.0, 0.0],
+        "share": [rng.random() for _ in range(2000)], "tiny": [rng.random() * 1e-300 for _ in range(50)], "huge": [-1e300, 1e300, 5e-324],
+        "close": [1.0 + i * 2.0 ** -50 for i in range(40)], "powers": [2.0 ** k for k in range(-60, 60)],
     }
-    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("two", None)]
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("two", None), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     names = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q100": 1.0}
-    for r in exact_quantiles(df, ["g"], F.col("v"), names, hot_rows).collect():
+    got = exact_quantiles(df, ["g"], F.col("v"), names).collect()
+    assert {r["g"] for r in got} == set(groups)
+    for r in got:
         for name, q in names.items():
-            assert r[name] == pytest.approx(float(np.quantile(groups[r["g"]], q)), abs=1e-9), (r["g"], name)
+            assert r[name] == pytest.approx(float(np.quantile(groups[r["g"]], q)), rel=1e-12, abs=0), (r["g"], name)
 
 
-def test_hot_sources(spark):
-    small = spark.range(10).select(F.lit("a").alias("k"))
-    large = spark.range(100).select(F.lit("a").alias("k"))
-    assert hot_sources({"small": small, "large": large}, ["k"], 50) == {"large"}
+@pytest.mark.parametrize("steps", [COARSE, FINE])
+def test_buckets_keep_the_order(spark, steps):
+    rng = random.Random(2)
+    values = [s * b * 2.0 ** k for k in range(-1070, 1000, 7) for b in (1.0, 1 - 2.0 ** -53, 1 + 2.0 ** -52, rng.random() + 0.5) for s in (-1, 1)] + [0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", value_bucket(F.col("v"), steps).alias("b"))
+    found = [r["b"] for r in sorted(df.collect(), key=lambda r: r["v"])]
+    assert found == sorted(found)
+
+
+def test_one_group_of_shares_spreads(spark):
+    """All values in [0, 1] in one group: no bucket that is ordered in one task holds more than a sliver."""
+    rows = spark.range(100_000).select(F.rand(1).alias("v"))
+    for steps, most in ((COARSE, 400), (FINE, 10)):
+        assert rows.groupBy(value_bucket(F.col("v"), steps)).count().agg(F.max("count")).first()[0] < most
 
 
 def test_rank_in_group_is_global_order(spark):

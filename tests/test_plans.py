@@ -1,6 +1,7 @@
 """Plan shape: what must hold at any scale."""
 
 import io
+import uuid
 from contextlib import redirect_stdout
 
 import __spark_entry__ as entry
@@ -59,3 +60,25 @@ def test_grid_is_exploded_after_compaction(spark):
     tree = plan(B.calibration_search(rows)).split("\n\n")[0]
     generate = tree.index("Generate")
     assert "HashAggregate" in tree[generate:]
+
+
+def test_no_job_starts_while_summaries_are_planned(spark):
+    from dayfold.operators import daily as D
+
+    sensors = S.sensor_logs(spark, DATA)
+    group = f"plan-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "plan")
+    try:
+        D.merge_parts(D.summary_parts(sensors))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name,most", [("hot_group_quantiles", 2), ("day_heart_rate", 3)])
+def test_quantiles_read_the_log_twice(spark, name, most):
+    """Once for all counts and once for the values of the wanted buckets; a summary also reads its log for plain aggregates."""
+    df = entry.queries()[name](spark, DATA)
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("FileScan parquet") <= most
