@@ -33,6 +33,8 @@ HEADLINE = [
     "two_run_weights",
     "calibration_search",     # 1066 settings per target
     "hot_group_quantiles",
+    "boosted_trees_oof",      # Spark ML fits over fold columns
+    "baseline_stages",
 ]
 
 

@@ -342,8 +342,7 @@ def seven_day_screen(spark, folder):
     return P.seven_day_mean(C.fill_calendar(merge_parts([*screen, keys])), "d_mscreen_on_min")
 
 
-_full_anchors = ["d_mscreen_on_min", "d_whr_mean", "d_behavior_steps_night_day_ratio"]
-_full_sql, _full_names = history_sql("daily_base", _full_anchors, MODALITIES)
+_full_sql, _full_names = history_sql("daily_base", HISTORY_ANCHORS, MODALITIES)
 
 
 @query("daily_feature_table", "JOIN-3 TOP-1 WIN-11", f"{KEYSPEC} split:s {columns('d', _full_names)}",
@@ -351,9 +350,8 @@ _full_sql, _full_names = history_sql("daily_base", _full_anchors, MODALITIES)
 SELECT k.sleep_date, k.split, h.* FROM keyed_labels k LEFT JOIN ({_full_sql}) h
   ON k.subject_id = h.subject_id AND k.lifelog_date = h.lifelog_date ORDER BY subject_id, sleep_date""")
 def daily_feature_table(spark, folder):
-    keys = S.labelled_keys(spark, folder)
-    table = H.with_history(base_table(spark, folder), _full_anchors)
-    return C.attach_to_keys(keys, table).orderBy("subject_id", "sleep_date")
+    table = P.daily_feature_table(S.sensor_logs(spark, folder), S.labelled_keys(spark, folder))
+    return table.orderBy("subject_id", "sleep_date")
 
 
 @query("supplier_history", "WIN-5 WIN-6 WIN-8 JOIN-2",

@@ -42,9 +42,10 @@ def group_folds(train: DataFrame, n_splits: int = 5) -> DataFrame:
     subjects = subjects.withColumn("digest", key_digest("subject_id"))
     ranked = rank_in_group(subjects, ["size"], "digest", "in_size", digits=2)
     per_size = subjects.groupBy("size").agg(F.count("*").alias("n"))
-    # one row per distinct subject size, at most one per calendar day
-    larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_size.select(F.col("size"), F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("start"))
+    # one entry per distinct subject size, at most one per calendar day
+    sizes = per_size.agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("s"))
+    larger = lambda i: F.aggregate(F.slice("s", 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    starts = sizes.select(F.inline(F.transform("s", lambda x, i: F.struct(x["size"].alias("size"), larger(i).alias("start")))))
     step = (F.col("start") + F.col("in_size")) % (2 * n_splits)
     dealt = ranked.join(starts, "size").select(
         "subject_id", F.when(step < n_splits, step).otherwise(2 * n_splits - 1 - step).alias("fold")

@@ -30,8 +30,9 @@ from dayfold.operators.priors import leave_one_out_prior, lookup_prior, subject_
 from dayfold.operators.scoring import global_means, macro_scores, target_scores
 from dayfold.operators.selection import absolute_correlations, long_features, select_features
 from dayfold.schema import KEYS
+from dayfold.session import cut_lineage
 
-# Tree settings per target (depth, step, rounds, row share, columns, minimum leaf).
+# Own settings per target (depth, step, rounds, row share, minimum leaf), sized for Spark's trees.
 TREE_SETTINGS: dict[str, dict] = {
     "Q1": {"maxDepth": 5, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 20},
     "Q2": {"maxDepth": 4, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 25},
@@ -107,24 +108,31 @@ def out_of_fold(
     before each subject's validation start. Rows never validated get no prediction. Rows of
     the test split are predicted by every fold; ``average_runs`` takes the mean. ``by_subject``
     adds the subject as a target statistic of the fold's own training rows.
+
+    The folds are joined once, one column per target and seed; every fit then filters the written frame.
     """
     spark = frame.sparkSession
     jobs, gains = [], []
     plan = sorted((r["target"], r["seed"], r["fold_id"]) for r in
                   folds.select("target", "seed", "fold_id").distinct().collect())  # targets x seeds x folds
     wanted, chosen = set(targets), set(seeds)
+    runs = sorted({(t, s) for t, s, _ in plan if t in wanted and s in chosen})
+    column = lambda t, s: f"__fold_{t}_{s}"
+    mine = lambda t, s: (F.col("target") == t) & (F.col("seed") == s)
+    by_key = folds.groupBy(*KEYS).agg(*[F.max(F.when(mine(t, s), F.col("fold_id"))).alias(column(t, s)) for t, s in runs])
+    frame = cut_lineage(frame.join(by_key, KEYS, "left"))
     test = frame.where(F.col("split") == "test")
 
     def fit(target: str, seed: int, fold: int) -> DataFrame:
         rows = frame.where((F.col("split") == "train") & F.col(target).isNotNull())
         rows = rows.withColumn("y", F.col(target).cast("double"))
-        mine = folds.where((F.col("target") == target) & (F.col("seed") == seed) & (F.col("fold_id") == fold))
-        valid = rows.join(mine.select(*KEYS), KEYS, "left_semi")
+        held_out = F.col(column(target, seed)).eqNullSafe(fold)
+        valid = rows.where(held_out)
         if forward:
-            manifest = mine.withColumn("role", F.lit("valid"))
+            manifest = valid.select(*KEYS, F.lit(fold).alias("fold_id"), F.lit("valid").alias("role"))
             train = outer_train_rows(rows, manifest, "group_time")
         else:
-            train = rows.join(mine.select(*KEYS), KEYS, "left_anti")
+            train = rows.where(~held_out)
         asked = test.withColumn("y", F.lit(None).cast("double"))
         if by_subject:
             named = [df.withColumn("target", F.lit(target)) for df in (train, valid, asked)]
