@@ -1,12 +1,12 @@
-"""Every query with an oracle against DuckDB on the smallest tables."""
+"""Every query with an oracle against DuckDB on the tables of the correctness gate."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-DATA = "/root/testdata/sf0.01"
 from tools.check import TABLES, differences
 
+DATA = "/root/testdata/sf0.01"
 ORACLES = entry.oracle_sql()
 
 
