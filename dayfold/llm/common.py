@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -13,10 +14,39 @@ from pyspark.sql.types import StructType
 
 from dayfold.session import scratch_path
 
+#: Rows of one Arrow batch at most.
+BATCH_ROWS = 2500
+
 
 def importable(spark: SparkSession) -> None:
-    """Python workers find this package where the driver does; a cluster has it installed or gets it by --py-files."""
+    """Prepares the session for Python tasks over whole texts.
+
+    Workers find this package where the driver does; a cluster has it installed or gets it by --py-files.
+    Arrow batches of at most BATCH_ROWS texts keep a worker's memory small; a lower setting stays.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+
+
+def released(run: Callable) -> Callable:
+    """The task function, giving freed memory back to the system at its end: workers serve many tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dayfold.llm.common import documents, keyed_text, written
+from dayfold.llm.common import documents, keyed_text, released, written
 
 SEQUENCE = 2048
 END = 1
@@ -83,7 +83,7 @@ def token_table(docs: DataFrame, tokenizer: str, end: int = END, id_col: str = "
                     ["doc_id", "task", "place", "n", "ids"],
                 )
 
-    return written(keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, task int, place long, n long, ids binary"), "tokens")
+    return written(keyed_text(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, task int, place long, n long, ids binary"), "tokens")
 
 
 def _cut(length: int):
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE,
     before = list(zip((r.task for r in totals), accumulate((r.n for r in totals), initial=0)))
     bases = docs.sparkSession.createDataFrame(before, "task int, base long")
     placed = tokens.join(F.broadcast(bases), "task").select("doc_id", (F.col("base") + F.col("place")).alias("begin"), "n", "ids")
-    return placed.mapInArrow(_cut(length), PIECE)
+    return placed.mapInArrow(released(_cut(length)), PIECE)
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

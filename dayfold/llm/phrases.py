@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dayfold.llm.common import free_name, importable, slices, text_buffers
+from dayfold.llm.common import free_name, give_back, importable, released, slices, text_buffers
 from dayfold.llm.syncmers import gram_hashes, mixed, sliding_min
 
 #: Units of one parse; their places fit into the low bits of a packed hash.
@@ -80,7 +80,12 @@ class Records(NamedTuple):
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places begin, begin + 1, ... of every range, one range after the other."""
     ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - begin, size)
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    kind = np.int32 if max(int(ends[-1]), int((begin + size).max())) < 1 << 31 else np.int64
+    out = np.arange(ends[-1], dtype=kind)
+    out -= np.repeat((ends - size - begin).astype(kind), size)
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -309,6 +314,7 @@ def _resolve_bucket(kind: Kind, parts: int, buckets: int):
                 blocks.append((values, counts, flat, np.concatenate(([0], np.cumsum(values[4])))))
         for piece in range(PIECES if blocks else 0):
             rows += span_rows(kind.resolve(piece_records(blocks, piece), kind), parts)
+        give_back()
         return pa.Table.from_batches([row_batch(rows, "part")])
 
     return run
@@ -391,7 +397,9 @@ def _assemble(finish: Callable, doc: str, version: str):
                 yield from finish(batch, found)
 
     def whole(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(table)))
+        out = pa.Table.from_batches(list(run(table)))
+        give_back()
+        return out
 
     return whole
 
@@ -416,7 +424,7 @@ def without_repeats(docs: DataFrame, kind: Kind, finish: Callable, schema: Struc
     else:
         docs = docs.join(repeated, docs[doc] == repeated["key"], "left")
         docs = docs.withColumn(version, F.when(F.col("key").isNotNull(), F.xxhash64(text)).otherwise(0)).drop(repeated["key"])
-    phrases = docs.select(doc, version, text.alias("text")).mapInArrow(_parse_batches(kind, buckets, parts), "bucket int, kind int, block binary")
+    phrases = docs.select(doc, version, text.alias("text")).mapInArrow(released(_parse_batches(kind, buckets, parts)), "bucket int, kind int, block binary")
     spans = phrases.groupBy("bucket").applyInArrow(_resolve_bucket(kind, parts, buckets), "part int, kind int, block binary")
-    texts = docs.mapInArrow(_documents_by_part(parts, doc, version), "part int, kind int, block binary")
+    texts = docs.mapInArrow(released(_documents_by_part(parts, doc, version)), "part int, kind int, block binary")
     return spans.union(texts).groupBy("part").applyInArrow(_assemble(finish, doc, version), schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayfold.llm.common import documents, keyed_text, written
+from dayfold.llm.common import documents, keyed_text, released, written
 from dayfold.llm.components import components
 
 DISTANCE = 4
@@ -59,7 +59,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per document, fp the fingerprint's 64 bits as a signed long."""
-    return keyed_text(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return keyed_text(docs, id_col, text_col).mapInArrow(released(_fingerprints), "doc_id long, fp long")
 
 
 def _spread(bits: list[int], parts: int) -> list[list[int]]:

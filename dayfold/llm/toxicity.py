@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayfold.llm.common import crc32_fold, documents, free_name, importable, sampled_texts, schema_with, written
+from dayfold.llm.common import crc32_fold, documents, free_name, importable, released, sampled_texts, schema_with, written
 
 #: Labelled rows to learn from at most.
 FIT_ROWS = 20_000
@@ -35,7 +35,7 @@ TOXIC_LIFT = 30
 LEVEL = 12
 #: Bytes of one window; a longer word makes several.
 WINDOW = 64
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -168,7 +168,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score", text_col: str = "
     repeated rows and null ids score alike; an empty table stays empty.
     """
     importable(docs.sparkSession)
-    return docs.mapInArrow(_scores(model, text_col, name), schema_with(docs, name, "double"))
+    return docs.mapInArrow(released(_scores(model, text_col, name)), schema_with(docs, name, "double"))
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
