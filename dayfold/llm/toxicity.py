@@ -134,9 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     often = max(3.0, TOXIC_SHARE * n_toxic)
     marked = counts.where((F.col("toxic") >= often) & (F.length("word") > 2) & (F.col("toxic") / n_toxic > TOXIC_LIFT * (F.col("ordinary") + 0.5) / n_ordinary))
     marked = marked.orderBy(F.desc("toxic"), "word").limit(TOXIC_WORDS).collect()
-    # what is most frequent stands last, where references to it are shortest
+    # what matters most stands last, where references to it are shortest
     ordinary = b"\n".join([b"", *(bytes(r["word"]) for r in reversed(common)), b""])
-    toxic = b"\n".join([b"", *(bytes(r["word"]) for r in reversed(marked))]) + ordinary
+    toxic = ordinary + b"\n".join([*(bytes(r["word"]) for r in reversed(marked)), b""])
     pairs = rows.mapInArrow(_pair_counts(toxic, ordinary), "y int, a int, b int, n long").groupBy("a", "b").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("ordinary")
     ).collect()  # at most one row for each pair of lengths of a window
