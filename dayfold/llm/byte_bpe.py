@@ -9,6 +9,7 @@ merge made stale are skipped when they come up. The work for a pre-token of n by
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,77 +22,78 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dayfold.llm.common import documents, keyed_text
 
-#: Ranks in one word of the lower bitmap.
-SPAN = 256
+#: The lower bitmap has words of 2 to the power SHIFT ranks.
+SHIFT = 8
+LOW = (1 << SHIFT) - 1
+BITS = [1 << i for i in range(1 << 12)]  # so many words, over a million ranks
 #: Distinct pre-tokens that a Python worker remembers.
-REMEMBERED = 300_000
-
-
-class RankQueue:
-    """Places by rank; `pop` gives the leftmost place of the lowest rank."""
-
-    def __init__(self) -> None:
-        self.summary = 0
-        self.words: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [place]
-            word = rank // SPAN
-            self.words[word] = self.words.get(word, 0) | 1 << rank % SPAN
-            self.summary |= 1 << word
-        else:
-            heappush(bucket, place)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.summary:
-            return None
-        word = (self.summary & -self.summary).bit_length() - 1
-        bits = self.words[word]
-        low = bits & -bits
-        rank = word * SPAN + low.bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits ^ low
-            if bits == low:
-                self.summary ^= 1 << word
-        return rank, place
+REMEMBERED = 700_000
 
 
 def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: the pair of lowest rank merges first, of equal ranks the leftmost."""
+    """The ids of one pre-token: the pair of lowest rank merges first, of equal ranks the leftmost.
+
+    The queue: `buckets` has a heap of places for each waiting rank, `words` the bits of neighbouring ranks, and
+    `summary` one bit for each word that is not empty.
+    """
     whole = ranks.get(token)
     if whole is not None:
         return [whole]
-    n = len(token)
+    n, get = len(token), ranks.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part is known by its first byte's place
     waiting = [-1] * n  # the rank under which a place's pair is queued now
-    queue = RankQueue()
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    summary = 0
     for i in range(n - 1):
-        rank = ranks.get(token[i:i + 2])
+        rank = get(token[i:i + 2])
         if rank is not None:
             waiting[i] = rank
-            queue.push(rank, i)
-    while (top := queue.pop()) is not None:
-        rank, i = top
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+    for rank in buckets:
+        word = rank >> SHIFT
+        words[word] = words.get(word, 0) | BITS[rank & LOW]
+        summary |= BITS[word]
+    while summary:
+        word = (summary & -summary).bit_length() - 1
+        bits = words[word]
+        low = bits & -bits
+        rank = (word << SHIFT) + low.bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            words[word] = bits ^ low
+            if bits == low:
+                summary ^= BITS[word]
         if waiting[i] != rank:
             continue
         gone = after[i]
         end = after[i] = after[gone]
-        waiting[gone] = -1
-        if end < n:
+        waiting[gone] = waiting[i] = -1
+        changed = [i] if end < n else []
+        if changed:
             before[end] = i
-        for left in (before[i], i):
-            if left >= 0:
-                right = after[left]
-                found = ranks.get(token[left:after[right]]) if right < n else None
-                waiting[left] = -1 if found is None else found
-                if found is not None:
-                    queue.push(found, left)
+        if i:
+            changed.append(before[i])
+        for left in changed:
+            rank = get(token[left:after[after[left]]])
+            if rank is None:
+                waiting[left] = -1
+                continue
+            waiting[left] = rank
+            if rank in buckets:
+                heappush(buckets[rank], left)
+            else:
+                buckets[rank] = [left]
+                word = rank >> SHIFT
+                words[word] = words.get(word, 0) | BITS[rank & LOW]
+                summary |= BITS[word]
     ids, i = [], 0
     while i < n:
         ids.append(ranks[token[i:after[i]]])
@@ -121,6 +123,7 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, table, known = vocabulary(path)
         split = regex.compile(public_tokenizers.PATTERN).findall
+        gc.freeze()  # the vocabulary and what is remembered hold no cycles to look for
         for batch in batches:
             rows = []
             for text in batch.column("text"):

@@ -49,11 +49,11 @@ def test_other_tokenizer_files_use_their_library():
     assert packing.encode(["Hello world"], path)[0] == Tokenizer.from_file(path).encode("Hello world", add_special_tokens=False).ids
 
 
-def test_rank_queue_order():
-    queue = B.RankQueue()
-    for rank, place in ((300, 4), (5, 9), (300, 1), (50_000, 0), (5, 2)):
-        queue.push(rank, place)
-    assert [queue.pop() for _ in range(6)] == [(5, 2), (5, 9), (300, 1), (300, 4), (50_000, 0), None]
+def test_merge_order_with_own_ranks():
+    ranks = {bytes([b]): 5000 + b for b in range(256)} | {b"ab": 3000, b"bc": 40, b"abc": 2, b"aa": 1, b"aaa": 0}
+    assert B.merge(b"abcab", ranks) == [2, 3000]
+    assert B.merge(b"aaaaa", ranks) == [0, 1]
+    assert B.merge(b"xbcx", ranks) == [5000 + 120, 40, 5000 + 120]
 
 
 def test_round_trip_digests(frame, awkward, empty, encoding):
