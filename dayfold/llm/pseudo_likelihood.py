@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayfold.llm.common import documents, keyed_text, slices, text_buffers
+from dayfold.llm.common import documents, hash_sample, keyed_text, slices, text_buffers
 from dayfold.llm.phrases import word_units
 
 CLASSES = 32
@@ -187,7 +187,7 @@ def _train(start: np.ndarray):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """The network fitted to all documents; without any word it stays as it was made."""
     texts = keyed_text(docs, id_col, text_col)
-    sample = texts.orderBy(F.xxhash64("doc_id", "text")).limit(START_ROWS).select("text").toPandas()["text"].tolist()
+    sample = hash_sample(texts, "doc_id", START_ROWS).select("text").toPandas()["text"].tolist()
     trainer = Trainer(fresh())
     for _ in range(START_PASSES):
         for _, _, flat, offsets in _pieces(pa.array(sample, pa.string())):
