@@ -182,7 +182,7 @@ def pack(columns: list[np.ndarray], data: np.ndarray | None = None, counts: np.n
     body = [np.array([len(columns[0]), len(columns), *head], "<i8").tobytes()]
     for i, c in enumerate(columns):
         body.append(_planes(np.diff(c, prepend=0) if i < 2 else c, "<i8" if i < 2 else "<u4"))
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(body) + (b"" if data is None else data.tobytes()))
+    return zstandard.ZstdCompressor(level=9).compress(b"".join(body) + (b"" if data is None else data.tobytes()))
 
 
 def unpack(block: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -362,7 +362,7 @@ def runs_of(flags: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _documents_by_part(parts: int, doc: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
         for batch in batches:
             part = part_of(batch.column(doc).to_numpy(), batch.column(version).to_numpy(), parts)
             order = np.argsort(part, kind="stable")
