@@ -125,7 +125,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def close_links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints `fp`; their components are those of all close pairs."""
     masks = F.array(*[F.lit(m) for m in first_masks()])
-    filed = fps.select("fp", F.explode(masks).alias("mask"))
+    partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes, but 35 rows from each: by their size alone they would be merged into very few tasks
+    filed = fps.repartition(partitions, "fp").select("fp", F.explode(masks).alias("mask"))
     links = None
     while True:
         key = [F.col("mask"), F.col("fp").bitwiseAND(F.col("mask")).alias("part")]
@@ -161,7 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(close_links(nodes.select("fp")))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = written(placed, "placed")  # so that a large component is summed before it is shuffled, and its join can be split
+    least = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = placed.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
