@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from dayfold.llm.common import documents, keyed_text, released, written
 from dayfold.llm.components import components
+from dayfold.llm.shingles import representatives
 
 DISTANCE = 4
 BLOCKS = 7
@@ -172,11 +173,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The documents, whole rows, whose doc_id is the smallest of its near-duplicate group.
 
+    The groups are those of `shingles` (five words, similarity 0.8), not those of `near_duplicates`.
     Repeated rows of one doc_id are one document and give one row. Rows with a null doc_id cannot be named
     as a group's representative by others and stay as they are.
     """
-    groups = near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    keep = representatives(docs)
     named = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
