@@ -3,12 +3,14 @@
 A host has an edge to each host that its pages link to, and, as hosts of one domain answer for each other,
 between a host and its parent domain. Trust starts from the pages that a rule allows and follows the edges
 (personalised PageRank); distrust starts from the pages that a rule blocks and follows them backwards, from a
-blocked host to those that link to it. Both are measured against the plain PageRank of the host. A page
-without a rule is blocked if its host's distrust exceeds its trust by more than `MARGIN`.
+blocked host to those that link to it. A host's distrust as a share of its trust and distrust, both counted
+in pages, is its suspicion. A page without a rule is blocked if its host's suspicion is above a bound that
+separates the judged pages best, by what reaches their hosts from others.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +23,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\s(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>\\]+)"""
 DAMPING = 0.85
 ROUNDS = 16
-MARGIN = 1.5
+#: The bound without judged pages of both kinds to find it by.
+EVEN = 0.5
+#: Steps of suspicion between which the bound is sought.
+STEPS = 1000
 
 
 class Rule(NamedTuple):
@@ -67,8 +72,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def host_trust(pages: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, excess): distrust less trust of each host, both relative to its plain PageRank.
+    """(host, excess, suspicion, reached, n_good, n_bad) of each host.
 
+    `excess` is distrust less trust, both relative to the plain PageRank; `suspicion` the share of distrust,
+    null where neither came; `reached` the same of what came from other hosts; then the judged pages.
     `pages` has host, html and verdict (allow, block or null by rule).
     """
     pages = pages.where("host <> ''")
@@ -86,8 +93,8 @@ def host_trust(pages: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     nodes = nodes.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("good", "bad", "plain")])
     total = nodes.agg(*[F.greatest(F.sum(c), F.lit(1)).alias(c) for c in ("good", "bad", "plain")]).first()
     if total is None or total["plain"] is None:
-        return nodes.select("host", F.lit(0.0).alias("excess"))
-    nodes = written(nodes.select("host", *[(F.col(c) / F.lit(float(total[c]))).alias(f"seed_{c}") for c in ("good", "bad", "plain")]), "seeds")
+        return nodes.select("host", F.lit(0.0).alias("excess"), *[F.lit(None).cast("double").alias(c) for c in ("suspicion", "reached")], F.col("good").alias("n_good"), F.col("bad").alias("n_bad"))
+    nodes = written(nodes.select("host", F.col("good").alias("n_good"), F.col("bad").alias("n_bad"), *[(F.col(c) / F.lit(float(total[c]))).alias(f"seed_{c}") for c in ("good", "bad", "plain")]), "seeds")
     names = ("good", "bad", "plain")
     ranks = nodes.select("*", *[F.col(f"seed_{c}").alias(c) for c in names])
     for i in range(rounds):
@@ -100,10 +107,33 @@ def host_trust(pages: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if i % 4 == 3:
             ranks = written(ranks, "ranks")
     plain = F.greatest("plain", F.lit(1e-300))
-    return ranks.select("host", ((F.col("bad") - F.col("good")) / plain).alias("excess"))
+    good, bad = (F.col(c) * float(total[c]) for c in ("good", "bad"))
+    far_good, far_bad = (F.greatest((F.col(c) - (1 - DAMPING) * F.col(f"seed_{c}")) * float(total[c]), zero) for c in ("good", "bad"))
+    share = lambda b, g: F.when(b + g > 1e-12, b / (b + g))
+    found = ranks.join(nodes.select("host", "n_good", "n_bad"), "host")
+    return found.select("host", ((F.col("bad") - F.col("good")) / plain).alias("excess"), share(bad, good).alias("suspicion"), share(far_bad, far_good).alias("reached"), "n_good", "n_bad")
 
 
-def judged_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, margin: float = MARGIN) -> DataFrame:
+def bound(trust: DataFrame) -> float:
+    """The suspicion above which hosts have most of the blocked and least of the allowed pages by rule.
+
+    Among equally good bounds it is the middle one.
+    """
+    step = F.round(F.col("reached") * STEPS).cast("int").alias("step")
+    rows = trust.where("reached is not null").groupBy(step).agg(F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad")).collect()  # one row for each step at most
+    good, bad = [0] * (STEPS + 1), [0] * (STEPS + 1)
+    for r in rows:
+        good[r["step"]], bad[r["step"]] = r["good"], r["bad"]
+    n_good, n_bad = sum(good), sum(bad)
+    if not n_good or not n_bad:
+        return EVEN
+    kept = list(zip(accumulate(good), accumulate(bad)))[:STEPS]  # pages at or under each bound
+    gains = [g * n_bad - b * n_good for g, b in kept]
+    best = [i for i, x in enumerate(gains) if x == max(gains)]
+    return (best[len(best) // 2] + 0.5) / STEPS if max(gains) > 0 else EVEN
+
+
+def judged_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, excess.
 
     Every page without a rule gets its host's verdict; one without a host (null url, no `://`) is allowed.
@@ -114,8 +144,8 @@ def judged_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, margin: floa
     rule, verdict = matching(F.col("host"), F.col("path"), rules)
     parsed = parsed.select("*", rule.alias("rule"), verdict.alias("by_rule"))
     trust = written(host_trust(parsed.select("host", "html", F.col("by_rule").alias("verdict"))), "trust")
-    by_host = F.when(F.coalesce("excess", F.lit(0.0)) > margin, "block").otherwise("allow")
-    rows = parsed.select("page_id", "host", "path", "rule", "by_rule").join(trust, "host", "left")
+    by_host = F.when(F.coalesce("suspicion", F.lit(0.0)) > bound(trust), "block").otherwise("allow")
+    rows = parsed.select("page_id", "host", "path", "rule", "by_rule").join(trust.select("host", "excess", "suspicion"), "host", "left")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "excess")
 
 

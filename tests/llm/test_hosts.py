@@ -57,3 +57,20 @@ def test_page_rank_matches_a_plain_loop(spark):
 
 def test_empty(spark):
     assert H.judged_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_suspicion_decides_by_the_judged_pages(spark):
+    """Sibling hosts of two domains, judged in a few pages: the others follow their domain, however many pages are blocked in all."""
+    rows = [(k, f"http://s{k}.example.com/{p}", None) for k in range(20) for p in ("de/1", "en/1", "en/2", "fr/3")]
+    rows += [(100 + k, f"http://s{k}.example.org/{p}", None) for k in range(20) for p in ("fr/1", "en/1", "en/2")]
+    rows += [(200, "http://alone.info/", None)]
+    pages = spark.createDataFrame([(10 * i + n, u, h) for n, (i, u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = [(r.host, r.verdict) for r in H.judged_pages(pages).collect() if r.rule is None]
+    assert {v for h, v in got if h.endswith(".com")} == {"block"} and {v for h, v in got if not h.endswith(".com")} == {"allow"}
+
+
+def test_bound_separates_best(spark):
+    rows = [("a", 0.1, 9, 1), ("b", 0.3, 8, 2), ("c", 0.7, 2, 8), ("d", 0.9, 0, 9), ("e", None, 50, 50)]
+    trust = spark.createDataFrame(rows, "host string, reached double, n_good long, n_bad long")
+    assert 0.3 < H.bound(trust) < 0.7
+    assert H.bound(trust.where("n_good = 0")) == H.EVEN
