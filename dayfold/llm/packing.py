@@ -9,6 +9,7 @@ the sequence length. Only the very last sequence can be short.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -39,9 +40,24 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of a tokenizer file, without special tokens.
+def _with_added(ordinary: Callable[[str], list[int]], added: dict[str, int]) -> Callable[[str], list[int]]:
+    """Ids of a text in which the longest added token at each place stands for itself."""
+    cut = re.compile("(" + "|".join(re.escape(w) for w in sorted(added, key=len, reverse=True)) + ")")
+
+    def encoded(text: str) -> list[int]:
+        parts = cut.split(text)
+        if len(parts) == 1:
+            return ordinary(text)
+        return [i for k, part in enumerate(parts) if part for i in ([added[part]] if k % 2 else ordinary(part))]
+
+    return encoded
+
+
+@lru_cache(maxsize=4)
+def _encoder(path: str, added: bool) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of a tokenizer file; none are put around a text.
+
+    The file's added tokens, where a text spells one out, keep their own ids if `added`, and are plain text if not.
 
     A plain byte-level BPE whose ids are in merge order is run as rank merges, some ten times as fast and with
     the same ids; any other file is left to its own library.
@@ -52,21 +68,24 @@ def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     if model["type"] == "BPE" and not spec.get("normalizer") and splits.get("type") == "ByteLevel" and splits.get("use_regex") and not splits.get("add_prefix_space"):
         vocab, byte = model["vocab"], _byte_letters()
         joined = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        if joined == sorted(joined):
+        tokens = spec.get("added_tokens", [])
+        special = {t["content"] for t in tokens}
+        plain = not any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")) and all(t.get("special") for t in tokens)
+        if joined == sorted(joined) and plain:
             ranks = {bytes(map(byte.__getitem__, w)): i for w, i in vocab.items() if w not in special}
             encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+            one = _with_added(encoding.encode_ordinary, {t["content"]: t["id"] for t in tokens}) if added and tokens else encoding.encode_ordinary
+            return lambda texts: [one(t) for t in texts]
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added
     return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def encode(texts: list[str], path: str) -> list[list[int]]:
-    return _encoder(path)(texts)
+def encode(texts: list[str], path: str, added: bool = False) -> list[list[int]]:
+    return _encoder(path, added)(texts)
 
 
-def token_table(docs: DataFrame, tokenizer: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end: int = END, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Written table of (doc_id, task, place, n, ids): a document's ids and its place within its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +93,7 @@ def token_table(docs: DataFrame, tokenizer: str, end: int = END, id_col: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = [np.array([*x, end], "<u4").tobytes() for x in encode(part.column("text").to_pylist(), tokenizer)]
+                ids = [np.array([*x, end], "<u4").tobytes() for x in encode(part.column("text").to_pylist(), tokenizer, added)]
                 n = [len(x) // 4 for x in ids]
                 places = list(accumulate(n, initial=place))
                 place = places.pop()
@@ -105,13 +124,14 @@ def _cut(length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, end: int = END, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, unsigned 32 bit).
 
-    A null or empty text is the end id alone. Every row is packed, repeated rows and null ids too; an empty
+    A null or empty text is the end id alone; for `added` see `_encoder`. Every row is packed, repeated rows and
+    null ids too; an empty
     table gives no piece.
     """
-    tokens = token_table(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end, id_col, text_col)
+    tokens = token_table(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end, id_col, text_col, added)
     totals = tokens.groupBy("task").agg(F.sum("n").alias("n")).orderBy("task").collect()  # one row per task of the first pass
     before = list(zip((r.task for r in totals), accumulate((r.n for r in totals), initial=0)))
     bases = docs.sparkSession.createDataFrame(before, "task int, base long")
@@ -138,4 +158,4 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces_with_checksum(pack(documents(spark, sf_dir)))
+    return pieces_with_checksum(pack(documents(spark, sf_dir), added=True))

@@ -93,3 +93,16 @@ def _split(joined):
         out.append(ids[last:end].tobytes())
         last = end + 1
     return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "don't", "é", "12 ", "a"]), max_size=8).map("".join))
+def test_added_tokens_keep_their_ids(text):
+    assert packing.encode([text], JSON, added=True)[0] == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
+def test_packed_query_has_added_tokens(spark, monkeypatch):
+    monkeypatch.setattr(packing, "documents", lambda *_: spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string"))
+    want = [*Tokenizer.from_file(JSON).encode("a<|endoftext|>b", add_special_tokens=False).ids, 1]
+    row = packing.op4_packing(spark, "").first()
+    assert 50256 in want and (row.length, row.ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
