@@ -64,10 +64,10 @@ def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(text: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of every closed syncmer of a text; a text shorter than k is one anchor."""
+    """(place, hash) of every closed syncmer of a text; a text without one is one anchor, an empty one none."""
+    whole = np.zeros(min(len(text), 1), np.int64), np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), np.uint64)[:min(len(text), 1)]
     if len(text) < k:
-        whole = np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), np.uint64)
-        return np.zeros(min(len(text), 1), np.int64), whole[:min(len(text), 1)]
+        return whole
     places, hashes = [], []
     flat = np.frombuffer(text, np.uint8)
     for at in range(0, len(flat) - k + 1, STEP):
@@ -78,7 +78,7 @@ def anchors(text: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray
         chosen = np.flatnonzero((small[:len(least)] == least) | (small[inner - 1:] == least))
         places.append(chosen + at)
         hashes.append(mixed(gram_hashes(codes, k)[chosen]))
-    return np.concatenate(places), np.concatenate(hashes)
+    return (np.concatenate(places), np.concatenate(hashes)) if any(map(len, places)) else whole
 
 
 def sketch(text: bytes) -> np.ndarray:

@@ -68,3 +68,12 @@ def test_runs_have_every_successor(spark, monkeypatch):
     down = sorted(ids, reverse=True)
     want = {i: f"text {j}" for i, j in zip(down, down[1:] + down[:1])}
     assert {r.doc_id: r.after for r in S.with_next(df).collect()} == want
+
+
+def test_no_text_but_the_empty_one_is_without_anchor():
+    rng = random.Random(4)
+    texts = [bytes(rng.randrange(97, 123) for _ in range(n)) for n in range(1, 40) for _ in range(20)]
+    assert all(len(S.sketch(t)) for t in texts) and not len(S.sketch(b""))
+    assert S.likeness(S.sketch(texts[300]), S.sketch(b"")) == 0
+    short = [t for t in texts if 16 <= len(t) <= 25]
+    assert all(S.likeness(S.sketch(a), S.sketch(b)) == 0 for a, b in zip(short, short[20:]))
