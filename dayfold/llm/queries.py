@@ -14,10 +14,11 @@ from dayfold.llm.simhash import op1_simhash
 from dayfold.llm.suffixes import OP3_ORACLE, op3_suffix_dedup
 from dayfold.llm.syncmers import op2_syncmers
 from dayfold.llm.toxicity import op7_toxicity
+from dayfold.llm.whitening import op11_whitening
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_syncmers, op3_suffix_dedup, op4_packing, op5_automaton_dedup, op6_url_trust, op7_toxicity, op8_pseudo_likelihood, op9_byte_bpe, op10_quality_forest,
-    op12_collocations, op13_best_fit,
+    op11_whitening, op12_collocations, op13_best_fit,
 )}
 
 ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3_ORACLE, "op5_automaton_dedup": OP5_ORACLE, "op12_collocations": OP12_ORACLE}
