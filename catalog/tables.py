@@ -12,7 +12,7 @@ from dayfold.operators import encode as E
 from dayfold.operators import history as H
 from dayfold.plans import daily_table as P
 from dayfold.plans.model_table import advanced_feature_table
-from dayfold.schema import BUCKETS, DAY_KEYS, ENCODING_WINDOWS, HISTORY_ANCHORS, MODALITIES, TARGETS
+from dayfold.schema import BUCKETS, DAY_KEYS, ENCODING_WINDOWS, HISTORY_ANCHORS, MODALITIES, SIGNED_ANCHORS, TARGETS
 from dayfold.sources import adapters as S
 import catalog.summaries  # noqa: F401
 
@@ -236,11 +236,19 @@ _past = f"OVER ({_w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _upto = f"OVER ({_w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
+def mean_sql(a: str, d: int) -> str:
+    """Mean over the last rows; exact for differences of shares, so that zero is zero."""
+    if a not in SIGNED_ANCHORS:
+        return f"avg({a}) {_last(d)}"
+    total = f"round(sum(CAST({a} AS DECIMAL(26,12))) {_last(d)}, 9)"
+    return f"CAST({total} AS DOUBLE) / nullif(count({a}) {_last(d)}, 0)"
+
+
 def window_sql(a: str) -> dict[str, str]:
     """Past-only windows of one anchor; slope over explicitly numbered non-null values."""
     out = {f"{a}__lag1": f"lag({a}) OVER ({_w})", f"{a}__expanding_mean": f"avg({a}) {_past}"}
     for d in (3, 7, 14):
-        out[f"{a}__roll_mean_{d}"] = f"avg({a}) {_last(d)}"
+        out[f"{a}__roll_mean_{d}"] = mean_sql(a, d)
     for d in (7, 14):
         out[f"{a}__roll_std_{d}"] = f"stddev_samp({a}) {_last(d)}"
         out[f"{a}__slope_{d}"] = (

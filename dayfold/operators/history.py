@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dayfold.functions.scalar import ratio, variation
-from dayfold.schema import HISTORY_ANCHORS, MODALITIES, RATIO_EPS
+from dayfold.schema import HISTORY_ANCHORS, MODALITIES, RATIO_EPS, SIGNED_ANCHORS
 
 
 def by_day() -> WindowSpec:
@@ -35,7 +35,15 @@ def expanding_mean(name: str) -> Column:
 
 
 def rolling_mean(name: str, days: int) -> Column:
-    return F.avg(name).over(last_rows(days))
+    """Mean of the non-null values of the frame.
+
+    Differences of shares cancel to zero: their sum is exact (decimals) and rounded to nine places, so that a
+    mean that is zero is zero, and what divides by it is null instead of rounding noise.
+    """
+    if name not in SIGNED_ANCHORS:
+        return F.avg(name).over(last_rows(days))
+    exact = F.sum(F.col(name).cast("decimal(26,12)")).over(last_rows(days))
+    return F.try_divide(F.round(exact, 9).cast("double"), F.count(name).over(last_rows(days)))
 
 
 def rolling_std(name: str, days: int) -> Column:

@@ -36,6 +36,7 @@ HISTORY_ANCHORS = [
     "d_behavior_steps_night_day_ratio", "x_screen_charge_share", "x_steps_extent_log",
     "x_stationary_screen", "x_usage_screen_density",
 ]
+SIGNED_ANCHORS = ["d_behavior_screen_night_day_gap", "d_behavior_charge_night_day_gap"]  # differences of shares
 HABIT_ANCHORS = [
     "d_mscreen_on_min", "d_wpedo_step_sum", "d_whr_mean", "d_mac_charge_min", "d_mgps_extent",
 ]
@@ -92,7 +93,7 @@ FORBIDDEN_NAME_TOKENS = [
     "s4sym", "s4near", "s4up", "s4down", "qshead", "qsmicro", "qscal", "guard003", "guard005",
 ]
 
-# ---- input contracts -------------------------------------------------------
+# ---- fixed values: input contracts -------------------------------------------------------
 LABEL_SCHEMA = T.StructType(
     [
         T.StructField("subject_id", T.StringType()),
