@@ -2,7 +2,7 @@
 
 Counting makes one stream of (lang, phrase, count) for each order, one to `LONGEST` words, of all phrases that
 occur `LEAST` times or more. A phrase is never more frequent than its parts, so the words are counted first,
-then the pairs of frequent words, then longer phrases of frequent pairs. What is frequent is known to the
+then the pairs of frequent words (as hashes), then phrases of frequent pairs. What is frequent is known to the
 tasks as a bit filter of at most `FILTER_BITS` bits, which may let a rare phrase through but never holds back
 a frequent one; the counts themselves are exact.
 
@@ -42,7 +42,6 @@ ROW_BITS = 32768
 BLANK = np.isin(np.arange(256), [0x20, 0x09])
 BREAK = np.isin(np.arange(256), [*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D])
 PAIRED = np.uint64(0x9E3779B97F4A7C15)
-COUNTED = "lang string, phrase string, code long, n long"
 
 
 class Words(NamedTuple):
@@ -137,21 +136,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_pairs(words: Filter):
+    """Pairs of frequent words, as hashes: equal pairs have equal hashes, so a frequent pair has a frequent hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in _batches(batches):
             frequent = words.has(w.code)[w.at]
             i = np.flatnonzero(w.joined[:-1] & frequent[:-1] & frequent[1:])
-            pairs, n = np.unique(w.at[i] * len(w.code) + w.at[i + 1], return_counts=True)
-            if len(pairs):
-                a, b = pairs // len(w.code), pairs % len(w.code)
-                phrase = pc.binary_join_element_wise(w.word.take(pa.array(a)), w.word.take(pa.array(b)), " ")
-                yield _rows(w.lang.take(pa.array(a)), phrase, paired(w.code[a], w.code[b]), n)
+            codes, n = np.unique(paired(w.code[w.at[i]], w.code[w.at[i + 1]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
 
     return run
 
 
 def _count_longer(words: Filter, pairs: Filter, longest: int):
-    """Phrases of three words and more whose neighbouring words are all frequent pairs."""
+    """Phrases of two words and more whose neighbouring words are all frequent pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in _batches(batches):
@@ -160,10 +158,9 @@ def _count_longer(words: Filter, pairs: Filter, longest: int):
             i = np.flatnonzero(w.joined[:-1] & frequent[:-1] & frequent[1:])
             good = np.zeros(len(w.at) + longest, bool)
             good[i] = pairs.has(paired(w.code[w.at[i]], w.code[w.at[i + 1]]))
-            i = np.flatnonzero(good)
-            keys, number = np.unique(w.at[i] * kinds + w.at[np.minimum(i + 1, len(w.at) - 1)], return_inverse=True)
-            members = [keys // kinds, keys % kinds]  # the words of each phrase
-            for k in range(3, longest + 1):
+            i = np.arange(len(w.at))
+            number, members = w.at, [np.arange(kinds)]  # the words of each phrase
+            for k in range(2, longest + 1):
                 on = good[i + k - 2]
                 i, number = i[on], number[on]
                 if not len(i):
@@ -176,21 +173,23 @@ def _count_longer(words: Filter, pairs: Filter, longest: int):
     return run
 
 
-def _totals(rows: DataFrame, run, least: int) -> DataFrame:
-    counted = rows.mapInArrow(released(run), COUNTED).groupBy("lang", "phrase", "code").agg(F.sum("n").alias("n"))
-    return written(counted.where((F.col("n") >= least) | F.col("phrase").isNull()), "phrases")
+def _totals(rows: DataFrame, run, least: int, by: str = "lang, phrase, code") -> DataFrame:
+    kinds = {"lang": "string", "phrase": "string", "code": "long"}
+    keys = by.split(", ")
+    counted = rows.mapInArrow(released(run), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long").groupBy(*keys).agg(F.sum("n").alias("n"))
+    return counted.where((F.col("n") >= least) | (F.col("phrase").isNull() if "phrase" in keys else F.lit(False)))
 
 
 def count_streams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """((lang, words array, f) of all phrases of up to `longest` words with f >= least, (lang, n))."""
     importable(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    words = _totals(rows, _count_words, least)
+    words = written(_totals(rows, _count_words, least), "words")
     single = words.where("phrase is not null")
     frequent = bit_filter(single)
-    pairs = _totals(rows, _count_pairs(frequent), least)
-    longer = _totals(rows, _count_longer(frequent, bit_filter(pairs), longest), least)
-    streams = reduce(DataFrame.union, (single, pairs.where(F.lit(longest >= 2)), longer)).select("lang", F.split("phrase", " ").alias("words"), F.col("n").alias("f"))
+    pairs = written(_totals(rows, _count_pairs(frequent), least, "code"), "pairs")
+    longer = written(_totals(rows, _count_longer(frequent, bit_filter(pairs), longest), least), "phrases")
+    streams = single.union(longer).select("lang", F.split("phrase", " ").alias("words"), F.col("n").alias("f"))
     return streams, words.where("phrase is null").select("lang", "n")
 
 
