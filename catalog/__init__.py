@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["summaries", "tables", "learning", "blending", "training"]
+MODULES = ["summaries", "tables", "learning", "blending", "calibrating", "training"]
 
 
 def all_queries():

@@ -89,20 +89,6 @@ def residual_stages(spark, folder):
     return M.baseline_stages(train, frame.where("split = 'test'"), FEATURES, "Q1", residual=True, maxIter=3)
 
 
-@query("platt_calibration", "ML-5", f"{ROWSPEC} p:d")
-def platt_calibration(spark, folder):
-    rows = predictions(spark, folder).where("run = 'recent' AND target = 'Q1'")
-    return M.apply_platt(M.fit_platt(rows.where("split = 'train'")), rows.where("split = 'test'"))
-
-
-@query("isotonic_by_fold", "ML-6", f"{ROWSPEC} y:d p:d")
-def isotonic_by_fold(spark, folder):
-    folds = strata(spark, folder, ["Q1", "S4"])
-    rows = predictions(spark, folder).where("run = 'core' AND split = 'train'").join(
-        folds.select(*KEYS, "target", "fold_id"), [*KEYS, "target"])
-    return M.isotonic_by_fold(rows, ["Q1", "S4"], [0, 1])
-
-
 @query("adversarial_auc", "ML-10", "fold_id:i auc:d")
 def adversarial_auc(spark, folder):
     frame = feature_frame(spark, folder)
