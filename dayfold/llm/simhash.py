@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dayfold.llm.common import documents, keyed_text, released, written
+from dayfold.llm.common import documents, free_name, keyed_text, released, written
 from dayfold.llm.components import components
 from dayfold.llm.shingles import representatives
 
@@ -174,11 +174,14 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     """The documents, whole rows, whose doc_id is the smallest of its near-duplicate group.
 
     The groups are those of `shingles` (five words, similarity 0.8), not those of `near_duplicates`.
-    Repeated rows of one doc_id are one document and give one row. Rows with a null doc_id cannot be named
-    as a group's representative by others and stay as they are.
+    Repeated rows of one doc_id are one document and give one row, the one whose hash is smallest. Rows with a
+    null doc_id cannot be named as a group's representative by others and stay as they are.
     """
     keep = representatives(docs)
-    named = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
+    place = free_name(docs, "_place")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), F.hash(*docs.columns))
+    named = named.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

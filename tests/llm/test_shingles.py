@@ -46,8 +46,8 @@ def test_near_copies_at_and_under_the_bound(spark):
 
 def test_a_large_group_needs_no_pair_list(spark, monkeypatch):
     """Copies of one base, far from each other but near the base, and a second family that shares keys."""
-    made, compared = [], S._compared
-    monkeypatch.setattr(S, "_compared", lambda pairs, texts: made.append(pairs.distinct().count()) or compared(pairs, texts))
+    made, compared = [], S.alike
+    monkeypatch.setattr(S, "alike", lambda pairs, *tables: made.append(pairs.distinct().count()) or compared(pairs, *tables))
     rng = random.Random(5)
     base = prose(rng, 400, [f"w{k}" for k in range(400)])
     other = edited(rng, base, 24)
@@ -57,12 +57,64 @@ def test_a_large_group_needs_no_pair_list(spark, monkeypatch):
     assert sum(made) < 240 * 239 / 8
 
 
+def test_copies_alike_only_through_their_base(spark, monkeypatch):
+    """Every copy is at 0.85 or so from the base and under 0.8 from the others: the base has to lead."""
+    made, compared = [], S.alike
+    monkeypatch.setattr(S, "alike", lambda pairs, *tables: made.append(pairs.distinct().count()) or compared(pairs, *tables))
+    rng = random.Random(7)
+    base = prose(rng, 500, [f"w{k}" for k in range(500)])
+    rows = [(900, base)] + [(i, edited(rng, base, 8)) for i in range(300)]
+    assert slow_jaccard(rows[1][1], rows[2][1]) < 0.8 <= slow_jaccard(base, rows[1][1])
+    kept = {r.doc_id for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0}
+    assert sum(made) < 300 * 299 / 8
+
+
+def test_recall_against_brute_force(spark):
+    """All pairs of a corpus with edits of every size: components as in the plain comparison of all pairs."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(60):
+        texts = [prose(rng, rng.randint(60, 300), [f"w{k}" for k in range(300)])]
+        for _ in range(4):
+            source = rng.choice(texts)
+            texts.append(edited(rng, source, max(1, round(len(source.split(" ")) * rng.choice([0.003, 0.01, 0.02, 0.03])))))
+        rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split(" ") for _, t in rows)]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {find(i) for i in range(len(rows))}
+    kept = {r.doc_id for r in simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= kept and len(kept - want) <= 2
+
+
+def test_edge_rows_through_large_keys(spark):
+    """Nulls, repeated rows and a hot group of copies; the row kept of a repeated id is always the same."""
+    rng = random.Random(9)
+    base = prose(rng, 300, [f"w{k}" for k in range(300)])
+    rows = [(i, edited(rng, base, 2), "x") for i in range(40)] + [(i, base, "y") for i in range(100, 160)] + [(0, base, "z"), (0, base, "w"), (None, base, "n"), (None, None, "n"), (500, None, "e"), (501, "", "e"), (502, " \n", "e")]
+    found = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, _place string").repartition(parts)
+        found.append(sorted(map(tuple, simhash.one_per_group(docs).collect()), key=str))
+    assert found[0] == found[1]
+    assert [r[0] for r in found[0] if r[0] is not None] == [0, 500] and sum(r[0] is None for r in found[0]) == 2
+
+
 def test_keys_of_similar_sets():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 2 ** 64, 900, np.uint64)
     hits = []
     for _ in range(200):
         b = np.concatenate((a[100:], rng.integers(0, 2 ** 64, 100, np.uint64)))
-        hits.append((S.band_keys(np.unique(a)) == S.band_keys(np.unique(b))).any())
+        one, two = S.minima(np.unique(a)), S.minima(np.unique(b))
+        hits.append((S.band_keys(one) == S.band_keys(two)).any())
+        bytes_of = lambda x: np.frombuffer(S.signature(x), np.uint8)
+        assert abs(S.estimate(np.mean(bytes_of(one) == bytes_of(two))) - 8 / 10) < S.DOUBT
         a = b
     assert np.mean(hits) > 0.97
