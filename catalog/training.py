@@ -14,11 +14,15 @@ from dayfold.operators import encode as E
 from dayfold.operators import folds as V
 from dayfold.operators import models as M
 from dayfold.operators import neighbours as NB
+from dayfold.operators import ordered as O
 from dayfold.operators import scoring as SC
 from dayfold.operators import selection as SE
-from dayfold.plans.model_table import advanced_feature_table
+from dayfold.operators.boosting import MOST_ROUNDS, early_stopped_trees
+from dayfold.plans.daily_table import daily_feature_table
+from dayfold.plans.model_table import advanced_feature_table, model_feature_table
 from dayfold.schema import KEYS, TARGETS
 from dayfold.session import cut_lineage
+from dayfold.sources import adapters as S
 
 FAST = {"maxIter": 3, "maxDepth": 3}
 FEATURES = ["amount__lag1", "amount__roll_mean_7", "peak__roll_mean_7", "d_all_row_cnt__roll_mean_7", "Q1_te_7", "S4_te_7",
@@ -41,28 +45,71 @@ def trees(target, seed):
     return M.boosted_trees(FEATURES, target, seed, **FAST)
 
 
-@query("boosted_trees_oof", "ML-1 ML-2", f"{ROWSPEC} split:s y:d p:d")
-def boosted_trees_oof(spark, folder):
-    """All seven targets with their own tree settings."""
-    own = lambda t, s: M.boosted_trees(FEATURES, t, s)
-    oof, _ = M.out_of_fold(feature_frame(spark, folder), strata(spark, folder, TARGETS), TARGETS, [42], own)
-    return M.average_runs(oof)
+SEEDS = (42, 7)
+FOLDS = 5
+_STORED: dict[tuple, object] = {}
 
 
-@query("forward_trees_oof", "ML-9 JOIN-7", f"{ROWSPEC} split:s y:d p:d")
-def forward_trees_oof(spark, folder):
-    folds = V.rolling_origin_folds(keyed(spark, folder, "train")).select(
-        *KEYS, F.lit("Q1").alias("target"), F.lit(42).alias("seed"), "fold_id")
-    oof, _ = M.out_of_fold(feature_frame(spark, folder), folds, ["Q1"], [42], trees, forward=True)
-    return M.average_runs(oof)
+def once(name, spark, folder, make):
+    """Run reuse: what a session has trained on a folder is stored and read again by other queries."""
+    key = (name, spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
 
 
-@query("trees_by_subject", "ML-7", f"{ROWSPEC} split:s y:d p:d")
-def trees_by_subject(spark, folder):
-    make = lambda t, s: M.boosted_trees([*FEATURES, M.SUBJECT_FEATURE], t, s, **FAST)
-    oof, _ = M.out_of_fold(
-        feature_frame(spark, folder), strata(spark, folder, ["Q1"]), ["Q1"], [42], make, by_subject=True)
-    return M.average_runs(oof)
+def training_frame(spark, folder):
+    """The whole training table: all twelve sensors, history, calendar, z-scores and target encodings."""
+    def make():
+        sensors, keys = S.sensor_logs(spark, folder), keyed(spark, folder)
+        return cut_lineage(model_feature_table(daily_feature_table(sensors, keys)))
+    return once("frame", spark, folder, make)
+
+
+def boosted(spark, folder):
+    """(predictions, fits, importances) of seven targets on their mapped views, five folds, two seeds."""
+    def make():
+        frame = training_frame(spark, folder)
+        columns = E.numeric_columns(frame)
+        views = {t: E.view_columns(columns, v) for t, v in E.target_views(preset="histmix_guarded_v1").items()}
+        return early_stopped_trees(frame, strata(spark, folder, TARGETS, FOLDS, SEEDS), views, SEEDS, M.TREE_SETTINGS)
+    return once("boosted", spark, folder, make)
+
+
+@query("boosted_trees_oof", "ML-1 ML-2", f"{ROWSPEC} split:s y:d p:d")
+def boosted_trees_oof(spark, folder):
+    """All seven targets with their own views and settings: mean over seeds, and over folds for test rows."""
+    return M.average_runs(boosted(spark, folder)[0])
+
+
+@query("boosted_trees_rows", "ML-1", f"{ROWSPEC} split:s y:i fits:i seeds:i outside:i", "long_labels", f"""
+SELECT subject_id, sleep_date, lifelog_date, target, split, y, CASE split WHEN 'train' THEN {len(SEEDS)} ELSE {len(SEEDS) * FOLDS} END AS fits,
+  {len(SEEDS)} AS seeds, 0 AS outside
+FROM long_labels WHERE split = 'test' OR y IS NOT NULL""")
+def boosted_trees_rows(spark, folder):
+    """Every key once for each fit that predicts it: held-out rows once a seed, test rows once a seed and fold."""
+    rows = boosted(spark, folder)[0]
+    outside = F.count(F.when(~F.col("p").between(1e-6, 1 - 1e-6) | F.col("p").isNull(), 1))
+    return rows.groupBy(*KEYS, "target", "split").agg(
+        F.max("y").alias("y"), F.count_distinct("seed", "fold_id").alias("fits"), F.count_distinct("seed").alias("seeds"), outside.alias("outside"))
+
+
+@query("boosted_trees_losses", "ML-1 AGG-21", "target:s rows:i gap:d worse:i early:i", "long_labels", f"""
+SELECT target, count(y) AS rows, 0 AS gap, 0 AS worse, {len(SEEDS) * FOLDS} AS early FROM long_labels WHERE split = 'train' GROUP BY target""")
+def boosted_trees_losses(spark, folder):
+    """Out-of-fold loss of the stored predictions in plain SQL against the scoring operator; fits that stopped early.
+
+    `gap` is the difference of the two losses, `worse` is 1 if the trees lose to the global mean.
+    """
+    predictions, fits, _ = boosted(spark, folder)
+    held = M.average_runs(predictions).where("split = 'train'")
+    scored = SC.target_scores(held.withColumn("run", F.lit("trees"))).select("target", "score")
+    plain = spark.sql("""
+        SELECT target, count(*) AS rows, avg(-y * ln(p) - (1 - y) * ln(1 - p)) AS loss, avg(y) AS mean FROM {held} GROUP BY target""", held=held)
+    dummy = -F.col("mean") * F.ln("mean") - (1 - F.col("mean")) * F.ln(1 - F.col("mean"))
+    early = fits.where(F.col("trees") < MOST_ROUNDS).groupBy("target").agg(F.count("*").alias("early"))
+    both = plain.join(scored, "target").join(early, "target")
+    return both.select("target", "rows", (F.col("loss") - F.col("score")).alias("gap"), F.when(F.col("loss") > dummy, 1).otherwise(0).alias("worse"), "early")
 
 
 @query("forest_guarded_blend", "ML-8 BLD-9", "target:s weight:d score:d gain:d")
@@ -75,13 +122,6 @@ def forest_guarded_blend(spark, folder):
     return B.small_grid_choice(pairs, [0.0, 0.1, 0.2, 0.4], [])
 
 
-@query("baseline_stages", "ML-3 ML-5 BLD-7 CV-7", f"{ROWSPEC} stage:s y:d p:d")
-def baseline_stages(spark, folder):
-    frame = feature_frame(spark, folder)
-    train = frame.where("split = 'train'")
-    return M.baseline_stages(train, frame.where("split = 'test'"), FEATURES, "Q1", min_gain=0.0, **FAST)
-
-
 @query("residual_stages", "ML-4 TOP-2 PRI-2", f"{ROWSPEC} stage:s y:d p:d")
 def residual_stages(spark, folder):
     frame = feature_frame(spark, folder)
@@ -89,26 +129,6 @@ def residual_stages(spark, folder):
     return M.baseline_stages(train, frame.where("split = 'test'"), FEATURES, "Q1", residual=True, maxIter=3)
 
 
-@query("adversarial_auc", "ML-10", "fold_id:i auc:d")
-def adversarial_auc(spark, folder):
-    frame = feature_frame(spark, folder)
-    rows = frame.select(*KEYS, F.lit("split").alias("target"), (F.col("split") == "test").cast("int").alias("y"))
-    folds = V.stratified_folds(rows, 2).select(*KEYS, "fold_id")
-    return M.adversarial_auc(frame, FEATURES, folds, 2, **FAST)
-
-
-@query("importance_matrix", "ML-11 TOP-3", "target:s seed:i fold_id:i feature:s gain:d")
-def importance_matrix(spark, folder):
-    folds = strata(spark, folder, ["Q1"], seeds=(42, 7))
-    return M.out_of_fold(feature_frame(spark, folder), folds, ["Q1"], [42, 7], trees, with_importance=FEATURES)[1]
-
-
-@query("feature_subsets", "ML-12 TOP-6", "run:s target:s score:d")
-def feature_subsets(spark, folder):
-    subsets = {"all": FEATURES, "two": FEATURES[:2]}
-    return M.subset_scores(feature_frame(spark, folder), strata(spark, folder, ["Q1"]), subsets, "Q1", **FAST)
-
-
 @query("history_trees", "ML-13 PRI-9 PRI-10", f"{ROWSPEC} split:s y:d p:d")
 def history_trees(spark, folder):
     """Neighbour features rebuilt per fold: the reference of a fold leaves its own labels out."""
@@ -155,12 +175,87 @@ def ablation(spark, folder):
     return M.ablation_table({n: df.select(*columns) for n, df in averaged.items()})
 
 
+@query("forward_trees_oof", "ML-9 JOIN-7", f"{ROWSPEC} split:s y:d p:d")
+def forward_trees_oof(spark, folder):
+    """Seven targets on their views with the advanced columns, forward-chained over three folds."""
+    def make():
+        advanced = cut_lineage(advanced_feature_table(training_frame(spark, folder)))
+        columns = E.numeric_columns(advanced)
+        views = {t: E.advanced_view_columns(columns, v) for t, v in E.target_views(preset="histmix_guarded_v1").items()}
+        folds = V.forward_folds(keyed(spark, folder, "train")).where("role = 'valid'").select(*KEYS, "fold_id")
+        named = F.explode(F.array(*[F.lit(t) for t in TARGETS])).alias("target")
+        folds = folds.select(*KEYS, named, F.lit(42).alias("seed"), "fold_id")
+        return early_stopped_trees(advanced, folds, views, [42], M.TREE_SETTINGS, forward=True)
+    return M.average_runs(once("forward", spark, folder, make)[0])
+
+
+@query("trees_by_subject", "ML-7", f"{ROWSPEC} split:s y:d p:d")
+def trees_by_subject(spark, folder):
+    """The ordered family: seven targets, five folds, the subject as an ordered statistic beside the target's view."""
+    def make():
+        frame, train = training_frame(spark, folder), labels(spark, folder, "train")
+        folds = strata(spark, folder, TARGETS, FOLDS)
+        known = train.join(folds.select(*KEYS, "target", "fold_id"), [*KEYS, "target"])
+        held = [f"held_{f}" for f in range(FOLDS)]
+        names = [(t, h, f"{t}_{h}") for t in TARGETS for h in held]
+        wide = lambda df, by, p: df.groupBy(*by).agg(*[F.max(F.when(F.col("target") == t, F.col(h))).alias(f"{p}{n}") for t, h, n in names])
+        own = wide(O.ordered_statistics(known, FOLDS), KEYS, "own_")
+        asked = wide(O.category_statistics(known, FOLDS), ["subject_id"], "all_")
+        frame = frame.join(own, KEYS, "left").join(asked, "subject_id", "left").select(
+            *frame.columns, *[F.coalesce(f"own_{n}", f"all_{n}").alias(n) for _, _, n in names])
+        columns = E.numeric_columns(training_frame(spark, folder))
+        views = {t: E.view_columns(columns, v) for t, v in E.target_views(preset="histmix_guarded_v1").items()}
+        return early_stopped_trees(frame, folds, views, [42], M.TREE_SETTINGS, held_features={t: [f"{t}_{h}" for h in held] for t in TARGETS})
+    return M.average_runs(once("by_subject", spark, folder, make)[0])
+
+
+@query("baseline_stages", "ML-3 ML-5 BLD-7 CV-7", f"{ROWSPEC} stage:s y:d p:d")
+def baseline_stages(spark, folder):
+    """Seven targets on their views: fitted on the early part, calibrated and blended on the late one, fitted again."""
+    frame = training_frame(spark, folder)
+    columns = E.numeric_columns(frame)
+    views = {t: E.view_columns(columns, v) for t, v in E.target_views(preset="histmix_guarded_v1").items()}
+    return M.bundle_stages(frame, views, min_gain=0.0)
+
+
+@query("adversarial_auc", "ML-10", "fold_id:i auc:d")
+def adversarial_auc(spark, folder):
+    """All columns of the core view, five folds."""
+    frame = training_frame(spark, folder)
+    rows = frame.select(*KEYS, F.lit("split").alias("target"), (F.col("split") == "test").cast("int").alias("y"))
+    folds = V.stratified_folds(rows, FOLDS).select(*KEYS, "fold_id")
+    return M.adversarial_auc(frame, E.view_columns(E.numeric_columns(frame), "public_core"), folds, maxDepth=3, stepSize=0.3, validationTol=0.01)
+
+
+@query("importance_matrix", "ML-11 TOP-3", "target:s seed:i fold_id:i feature:s gain:d")
+def importance_matrix(spark, folder):
+    """Gain of every feature that a fit used: seven targets, two seeds, five folds."""
+    return boosted(spark, folder)[2]
+
+
+@query("feature_subsets", "ML-12 TOP-6", "run:s target:s score:d")
+def feature_subsets(spark, folder):
+    """Out-of-fold loss of each target on its 30 features of highest gain against its whole view, one seed."""
+    predictions, _, gains = boosted(spark, folder)
+    best = SE.top_importances(gains, [r["feature"] for r in gains.select("feature").distinct().collect()], 30)  # names of features
+    chosen = {}
+    for r in best.collect():  # 30 names per target
+        chosen.setdefault(r["target"], []).append(r["feature"])
+    make = lambda: early_stopped_trees(
+        training_frame(spark, folder), strata(spark, folder, TARGETS, FOLDS), {t: sorted(c) for t, c in chosen.items()}, [42], M.TREE_SETTINGS)
+    few = once("subsets", spark, folder, make)[0]
+    runs = [predictions.where("seed = 42").withColumn("run", F.lit("all")), few.withColumn("run", F.lit("top30"))]
+    return SC.target_scores(runs[0].unionByName(runs[1]).where("split = 'train'"))
+
+
 @query("top_feature_model", "ML-16 TOP-4 BLD-17", f"{ROWSPEC} split:s y:d p:d")
 def top_feature_model(spark, folder):
-    frame, folds = feature_frame(spark, folder), strata(spark, folder, ["S4"])
-    _, gains = M.out_of_fold(frame, folds, ["S4"], [42], trees, with_importance=FEATURES)
-    chosen = [r["feature"] for r in SE.top_importances(gains, FEATURES, 4).collect()]  # at most four names
-    make = lambda t, s: M.boosted_trees(chosen, t, s, **FAST)
-    oof = M.average_runs(M.out_of_fold(frame, folds, ["S4"], [42], make)[0])
+    """S4 on the 50 features of its view with the highest mean gain, then calibrated and blended 0.7."""
+    def make():
+        frame = training_frame(spark, folder)
+        view = E.view_columns(E.numeric_columns(frame), E.target_views(preset="histmix_guarded_v1")["S4"])
+        gains = boosted(spark, folder)[2].where("target = 'S4'")
+        chosen = sorted(r["feature"] for r in SE.top_importances(gains, view, 50).collect())  # 50 names
+        return early_stopped_trees(frame, strata(spark, folder, ["S4"], FOLDS, SEEDS), {"S4": chosen}, SEEDS, M.TREE_SETTINGS)
     params = spark.createDataFrame([("S4", 0.95, 0.02)], "target string, temp double, bias double")
-    return B.apply_calibration(oof, params, 0.7)
+    return B.apply_calibration(M.average_runs(once("top50", spark, folder, make)[0]), params, 0.7)

@@ -16,7 +16,6 @@ from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
@@ -25,22 +24,26 @@ from pyspark.sql import functions as F
 
 from dayfold.functions.scalar import bounded, finite, logit, probability
 from dayfold.operators.blend import prior_alpha
+from dayfold.operators.boosting import early_stopped_trees, view_frame
+from dayfold.operators.calibration import apply_platt_fits, platt_fits, score_counts
 from dayfold.operators.folds import calibration_split, outer_train_rows
 from dayfold.operators.priors import leave_one_out_prior, lookup_prior, subject_priors
 from dayfold.operators.scoring import global_means, macro_scores, target_scores
 from dayfold.operators.selection import absolute_correlations, long_features, select_features
 from dayfold.schema import KEYS
-from dayfold.session import cut_lineage
+from dayfold.session import cut_lineage, scratch_path
 
-# Own settings per target (depth, step, rounds, row share, minimum leaf), sized for Spark's trees.
+# Own settings per target (depth, step, row share, minimum leaf, tolerance of the held-out loss), sized for Spark's
+# trees, each round of which is some ten jobs: few deep steps instead of thousands of small ones. The held-out loss
+# sets the rounds; it falls by one in so many parts for ever where a day's own features decide the target (S1, S3).
 TREE_SETTINGS: dict[str, dict] = {
-    "Q1": {"maxDepth": 5, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 20},
-    "Q2": {"maxDepth": 4, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 25},
-    "Q3": {"maxDepth": 4, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 25},
-    "S1": {"maxDepth": 4, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.8, "minInstancesPerNode": 20},
-    "S2": {"maxDepth": 5, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 15},
-    "S3": {"maxDepth": 5, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 15},
-    "S4": {"maxDepth": 3, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.8, "minInstancesPerNode": 30},
+    "Q1": {"maxDepth": 3, "stepSize": 0.3, "subsamplingRate": 0.7, "minInstancesPerNode": 25, "validationTol": 0.002},
+    "Q2": {"maxDepth": 3, "stepSize": 0.3, "subsamplingRate": 0.7, "minInstancesPerNode": 20, "validationTol": 0.002},
+    "Q3": {"maxDepth": 3, "stepSize": 0.3, "subsamplingRate": 0.7, "minInstancesPerNode": 20, "validationTol": 0.005},
+    "S1": {"maxDepth": 3, "stepSize": 0.5, "subsamplingRate": 0.8, "minInstancesPerNode": 20, "validationTol": 0.05},
+    "S2": {"maxDepth": 3, "stepSize": 0.3, "subsamplingRate": 0.7, "minInstancesPerNode": 15, "validationTol": 0.002},
+    "S3": {"maxDepth": 3, "stepSize": 0.5, "subsamplingRate": 0.7, "minInstancesPerNode": 15, "validationTol": 0.05},
+    "S4": {"maxDepth": 2, "stepSize": 0.3, "subsamplingRate": 0.6, "minInstancesPerNode": 30, "validationTol": 0.002},
 }
 PARALLEL_FITS = 4
 MakeModel = Callable[[str, int], Pipeline]
@@ -66,7 +69,7 @@ def model_input(df: DataFrame, features: list[str], flags: list[str] = []) -> Da
 
 def boosted_trees(features: list[str], target: str = "", seed: int = 42, **overrides) -> Pipeline:
     settings = {"maxDepth": 4, "stepSize": 0.05, "maxIter": 20, "subsamplingRate": 0.7, "minInstancesPerNode": 20}
-    settings |= TREE_SETTINGS.get(target, {}) | overrides
+    settings |= {k: v for k, v in TREE_SETTINGS.get(target, {}).items() if k != "validationTol"} | overrides
     trees = GBTClassifier(featuresCol="features", labelCol="y", seed=seed, featureSubsetStrategy="0.7", **settings)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees])
 
@@ -258,6 +261,51 @@ def baseline_stages(
     return pick(raw, "raw").unionByName(pick(cal, "cal")).unionByName(pick(blend, "blend"))
 
 
+def bundle_stages(
+    frame: DataFrame, views: dict[str, list[str]], scheme: str = "group_time", min_gain: float = 0.30, m: float = 5.0, **tree_settings,
+) -> DataFrame:
+    """Raw, calibrated and blended predictions of the test rows for all targets: (keys, split, target, stage, y, p).
+
+    As ``baseline_stages``, but calibration, priors and blend weights of all targets are one plan each. The two
+    fits of a target, on the early part and on everything, write their predictions to folders of their own.
+    """
+    spark, targets = frame.sparkSession, list(views)
+    table, vector = view_frame(frame, None, views, [])
+    ids = [*KEYS, "split"]
+    long = table.select(*ids, F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])).alias("l"))
+    long = long.select(*ids, "l.target", "l.y").where("split = 'train' AND y IS NOT NULL")
+    parts = [calibration_split(long.where(F.col("target") == t), scheme) for t in targets]
+    placed = cut_lineage(reduce(DataFrame.unionByName, parts))
+    part_of = placed.groupBy(*KEYS).agg(*[F.max(F.when(F.col("target") == t, F.col("part"))).alias(f"part_{t}") for t in targets])
+    table = cut_lineage(table.join(part_of, KEYS, "left").repartition(table.rdd.getNumPartitions()))
+    path = scratch_path(spark, "bundle")
+
+    def fit(job: tuple[str, str]) -> None:
+        target, stage = job
+        rows = table.select(*ids, F.col(target).cast("double").alias("y"), F.col(vector[target]).alias("features"), F.col(f"part_{target}").alias("part"))
+        train = rows.where("part = 'fit'" if stage == "calib" else "part IS NOT NULL")
+        asked = rows.where("part = 'calib'" if stage == "calib" else "split = 'test'")
+        settings = {k: v for k, v in TREE_SETTINGS.get(target, {}).items() if k != "validationTol"} | {"maxIter": 20} | tree_settings
+        scored = GBTClassifier(labelCol="y", seed=42, featureSubsetStrategy="0.5", **settings).fit(train.select("y", "features")).transform(asked)
+        scored.select(*ids, "y", positive(scored).alias("p")).coalesce(1).write.mode("overwrite").parquet(f"{path}/target={target}/part={stage}")
+
+    in_parallel([lambda job=job: fit(job) for job in [(t, s) for t in targets for s in ("calib", "final")]], spark)
+    stored = spark.read.schema("subject_id string, sleep_date date, lifelog_date date, split string, y double, p double, target string, part string").parquet(path)
+    raw_calib, raw = (stored.where(F.col("part") == part).select(*ids, "target", "y", "p") for part in ("calib", "final"))
+    fits = platt_fits(score_counts(raw_calib, ["target"]), ["target"])
+    fit_rows = placed.where("part = 'fit'")
+    prior_calib = lookup_prior(placed.where("part = 'calib'").select(*ids, "target", "y"), subject_priors(fit_rows, m), global_means(fit_rows))
+    pairs = apply_platt_fits(raw_calib, fits, ["target"]).select(*KEYS, "target", "y", F.col("p").alias("a"))
+    pairs = pairs.join(prior_calib.select(*KEYS, "target", F.col("p").alias("b")), [*KEYS, "target"])
+    alpha = prior_alpha(pairs, min_gain).select("target", "alpha")  # one row per target
+    cal = cut_lineage(apply_platt_fits(raw, fits, ["target"]))
+    prior = lookup_prior(raw.select(*ids, "target", "y"), subject_priors(placed, m), global_means(placed)).select(*KEYS, "target", F.col("p").alias("prior_p"))
+    blend = cal.join(prior, [*KEYS, "target"]).join(F.broadcast(alpha), "target")
+    blend = blend.withColumn("p", probability(F.col("alpha") * F.col("p") + (1.0 - F.col("alpha")) * F.col("prior_p")))
+    stages = {"raw": raw.withColumn("p", probability("p")), "cal": cal, "blend": blend}
+    return reduce(DataFrame.unionByName, [df.select(*ids, "target", F.lit(n).alias("stage"), "y", "p") for n, df in stages.items()])
+
+
 def _raw(scored: DataFrame, rows: DataFrame) -> DataFrame:
     return scored.withColumn("p", positive(scored)).select(*KEYS, "split", "target", "y", "p")
 
@@ -289,17 +337,12 @@ def residual_learner(
 # ---- diagnostics ---------------------------------------------------------------------
 
 
-def adversarial_auc(frame: DataFrame, features: list[str], folds: DataFrame, n_folds: int, **settings) -> DataFrame:
-    """AUC of telling test rows from training rows, per fold. Half means alike."""
-    rows = model_input(frame, features).withColumn("y", (F.col("split") == "test").cast("double"))
-    joined = rows.join(folds.select(*KEYS, "fold_id"), KEYS)
-    evaluator = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction")
-    out = []
-    for f in range(n_folds):
-        fitted = boosted_trees(features, "", 42, **settings).fit(joined.where(F.col("fold_id") != f))
-        held = fitted.transform(joined.where(F.col("fold_id") == f))
-        out.append((f, float(evaluator.evaluate(held))))
-    return frame.sparkSession.createDataFrame(out, "fold_id int, auc double")
+def adversarial_auc(frame: DataFrame, features: list[str], folds: DataFrame, **settings) -> DataFrame:
+    """AUC of telling test rows from training rows, per fold, from exact ranks. Half means alike."""
+    told = frame.select(*KEYS, F.lit("train").alias("split"), (F.col("split") == "test").cast("int").alias("is_test"), *features)
+    named = folds.select(*KEYS, F.lit("is_test").alias("target"), F.lit(42).alias("seed"), "fold_id")
+    predictions, _, _ = early_stopped_trees(told, named, {"is_test": features}, [42], {"is_test": settings})
+    return rank_auc(predictions, ["fold_id"])
 
 
 def rank_auc(predictions: DataFrame, by: list[str]) -> DataFrame:
