@@ -33,7 +33,8 @@ HEADLINE = [
     "two_run_weights",
     "calibration_search",     # 1066 settings per target
     "hot_group_quantiles",
-    "boosted_trees_oof",      # Spark ML fits over fold columns
+    "isotonic_by_fold",       # 35 isotonic fits in one plan
+    "platt_by_fold",          # 35 regressions, one aggregation a step
     "baseline_stages",
 ]
 
