@@ -15,7 +15,6 @@ most frequent extension on either side.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -203,16 +202,16 @@ def _lockstep(streams: DataFrame, longest: int, without: Column, parts: str) ->
         return streams.where(F.size("words") == k)
 
     below = order(1).withColumn(parts, F.array().cast("array<long>"))
-    done = []
+    done = below.withColumn("rest", F.lit(None).cast("array<string>"))
     for k in range(2, longest + 1):
         shorter = below.select("lang", F.col("words").alias("rest"), F.col("f").alias("rest_f"), F.col(parts).alias("rest_parts"))
         met = order(k).withColumn("rest", without).join(shorter.hint("merge"), ["lang", "rest"])
-        met = met.select("lang", "words", "f", F.concat("rest_parts", F.array("rest_f")).alias(parts), "rest")
-        longest_of = met.groupBy("lang", F.col("rest").alias("words")).agg(F.max("f").alias("extension"))
-        done.append(below.join(longest_of.hint("merge"), ["lang", "words"], "left"))
-        below = written(met.drop("rest"), "stream")
-    done.append(below.withColumn("extension", F.lit(None).cast("long")))
-    return reduce(DataFrame.union, (d.select("lang", "words", "f", parts, "extension") for d in done))
+        below = written(met.select("lang", "words", "f", F.concat("rest_parts", F.array("rest_f")).alias(parts), "rest"), "stream")
+        done = done.union(below)
+    # a rest has one word less than its phrase, so orders do not mix
+    longest_of = done.where("rest is not null").groupBy("lang", F.col("rest").alias("words")).agg(F.max("f").alias("extension"))
+    extended = done.drop("rest").join(longest_of.hint("merge"), ["lang", "words"], "left")
+    return written(extended.select("lang", "words", "f", parts, "extension"), "extended")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SHARE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

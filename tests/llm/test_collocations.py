@@ -78,3 +78,9 @@ def test_ranks(spark):
     found = C.first_of_each(spark.createDataFrame(rows, "lang string, phrase string, a long, l long, r long, n long, score long"), 11).orderBy("rank").collect()
     want = sorted(rows, key=lambda r: (-r[6], -r[2], r[1].encode()))[:11]
     assert [(r.rank, r.phrase) for r in found] == [(i + 1, r[1]) for i, r in enumerate(want)]
+
+
+def test_orders_are_joined_once(spark, frame):
+    """What the lockstep joins have made is written: the result's plan does not repeat them for the driver to hold."""
+    plan = C.collocations(frame, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2
