@@ -56,6 +56,24 @@ def test_merge_order_with_own_ranks():
     assert B.merge(b"xbcx", ranks) == [5000 + 120, 40, 5000 + 120]
 
 
+def test_one_queue_for_many_pre_tokens():
+    """Every pre-token as by itself, also where a merge makes a pair of lower rank, as the plain rule says."""
+    def plain(token, ranks):
+        parts = [token[i:i + 1] for i in range(len(token))]
+        while token not in ranks and (pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]):
+            i = min(pairs)[1]
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[token]] if token in ranks else [ranks[p] for p in parts]
+
+    rng = np.random.default_rng(3)
+    some = lambda most: bytes(rng.choice(list(b"abc"), rng.integers(0, most + 1)).tolist())
+    for _ in range(300):
+        known = sorted({b"a", b"b", b"c"} | {some(5) for _ in range(12)} - {b""})
+        ranks = dict(zip(known, rng.permutation(len(known)).tolist()))
+        tokens = [some(14) for _ in range(8)]
+        assert B.merge_all(tokens, ranks) == [plain(t, ranks) for t in tokens]
+
+
 def test_round_trip_digests(frame, awkward, empty, encoding):
     got = sorted(map(tuple, B.round_trip_digests(frame).collect()), key=str)
     want = []
