@@ -17,6 +17,7 @@ from dayfold.operators.scoring import global_means
 from dayfold.schema import (
     KEYS, NEIGHBOUR_RANKS, NEIGHBOUR_WINDOWS, PROB_HIGH, PROB_LOW, TARGET_KERNELS,
 )
+from dayfold.session import cut_lineage
 
 Kernel = Callable[[Column], Column]
 Setting = tuple[str, int, float]
@@ -229,7 +230,7 @@ def fold_safe_prior(
     Reference rows are those of the other folds.
     """
     on = [*KEYS, "target"]
-    assigned = labels.join(folds.select(*on, "seed", F.col("fold_id").alias("fold")), on)
+    assigned = cut_lineage(labels.join(folds.select(*on, "seed", F.col("fold_id").alias("fold")), on))  # the prior reads it four times
     predicted = power_prior(
         assigned.select(*on, "seed", "fold"), assigned, days, power, subject_weight,
         future_scale, global_weight, by=["seed"], apart="fold",
