@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 
 from dayfold.operators.ranking import key_digest
 from dayfold.schema import KEYS
+from dayfold.session import cut_lineage
 
 PERMUTATIONS = 4
 
 
 def sums_before(df: DataFrame, group: list[str], digest: str, values: dict[str, Column], digits: int = 3) -> DataFrame:
     """Adds for each value its sum over the rows of the group that come before in digest order (zero for the first)."""
-    sliced = df.select("*", F.substring(digest, 1, digits).alias("__slice"), *[v.alias(f"__v_{n}") for n, v in values.items()])
-    totals = sliced.groupBy(*group, "__slice").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
+    sliced = df.select("*", F.substring(digest, 1, digits).alias("__slice"))  # values are made after the shuffle
+    totals = sliced.groupBy(*group, "__slice").agg(*[F.sum(v).alias(f"__t_{n}") for n, v in values.items()])
     earlier = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "__slice", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in values])
     local = Window.partitionBy(*group, "__slice").orderBy(digest).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sliced.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(local), F.lit(0)).alias(f"__l_{n}") for n in values])
+    placed = sliced.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"__l_{n}") for n, v in values.items()])
     joined = placed.join(offsets, [*group, "__slice"])
     return joined.select(*df.columns, *[(F.col(f"__o_{n}") + F.col(f"__l_{n}")).alias(n) for n in values])
 
@@ -46,6 +47,7 @@ def ordered_statistics(
     only predicted. The mean is that of the target's training rows of the fold.
     """
     known = labels.where(F.col("y").isNotNull()).select(*dict.fromkeys([*KEYS, "target", "fold_id", "y", category]))
+    known = cut_lineage(known)  # read five times
     in_fold = [F.col("fold_id") == f for f in range(folds)]
     counts = {f"n{f}": c.cast("long") for f, c in enumerate(in_fold)}
     sums = {f"s{f}": F.when(c, F.col("y").cast("long")).otherwise(0) for f, c in enumerate(in_fold)}
