@@ -17,7 +17,7 @@ from dayfold.operators import scoring as SC
 from dayfold.operators.daily import DAY_SUMMARIES
 from dayfold.plans import candidate as CP
 from dayfold.schema import KEYS, LABEL_SCHEMA, TARGETS, TARGETWISE_PRIOR_WEIGHTS
-from dayfold.session import scratch_path
+from dayfold.session import cut_lineage, scratch_path
 from dayfold.sources import adapters as S
 from dayfold.sources import readers as RD
 from dayfold.sources import sinks as K
@@ -360,7 +360,7 @@ v AS (SELECT CAST(avg(score) > avg(base_score) + 0.0001 OR max(CAST(candidate <>
 SELECT pr.target, pr.candidate, pr.score, pr.drift_ok, failed AS used_safe FROM pr, v WHERE failed = 0
 UNION ALL SELECT sf.target, sf.candidate, sf.score, sf.drift_ok, failed FROM sf, v WHERE failed = 1""")
 def selected_with_fallback(spark, folder):
-    candidates, base = options(spark, folder)
+    candidates, base = map(cut_lineage, options(spark, folder))  # a few rows a target; both selections and the verdict read them
     primary = G.select_per_target(candidates, base, ["Q1", "Q2"], 0.001)
     safe = G.select_per_target(candidates, base, [], 0.0, min_gain=0.0002)
     return G.with_global_fallback(primary, safe, base, 0.0001)
