@@ -421,6 +421,7 @@ FROM (SELECT l_suppkey, day, island, any_value(active) AS active, count(*) AS le
 GROUP BY l_suppkey, day""")
 def order_runs_by_subject_day(spark, folder):
     from dayfold.operators.runs import run_statistics, slice_summaries
+    from dayfold.session import tasks_for
 
     df = S.table(spark, folder, "lineitem")
     rank = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
@@ -429,5 +430,6 @@ def order_runs_by_subject_day(spark, folder):
         (F.col("l_quantity") > 25).cast("int").alias("active"))
     piece = F.floor(F.col("o") / 20_000)
     keys = ["l_suppkey", "day"]
-    slices = slice_summaries(rows, keys, F.col("active"), [F.col("o"), F.col("active")], piece)
-    return run_statistics(slices, keys, "episodes", "longest")
+    tasks = tasks_for(df)
+    slices = slice_summaries(rows, keys, F.col("active"), [F.col("o"), F.col("active")], piece, tasks=tasks)
+    return run_statistics(slices, keys, "episodes", "longest", tasks=tasks)
