@@ -1,21 +1,23 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands (40 keys of 8 minima each), which a pair of similarity 0.8 shares with
-probability 0.9994, a closer one with more, one of 0.5 with 0.15 and one of 0.3 with 0.003. A 64-bit majority
-fingerprint cannot be keyed for this: at 0.8 two of them differ in some 10 bits, 16 at the tail, so no
-selective block of bits agrees.
-
-A pair's similarity is first estimated from one byte of each of the 320 minima (standard error 0.022 at 0.8).
-Five standard errors over the bound it is a link, three and a half below it is none (a pair at the very bound
-is missed with probability 0.0002 by that), and what lies between is decided by the exact similarity of the
+Candidates come from SimHash. A fingerprint has 2,048 majority bits of the shingle hashes; two sets whose
+similarity is 0.8 agree in a bit with probability 0.85, unrelated ones with 0.5. There are 100 keys of 18 bits
+each: a pair at 0.8 shares one with probability 0.995, one at 0.85 with 0.9998. A 64-bit fingerprint with whole
+blocks as keys cannot serve here: at 0.8 two of them differ in some 10 bits, 16 at the tail, so no selective
+block of bits agrees.
+
+Unrelated sets meet by chance, too, so the members of a key compare 64 further bits first, and only those stay
+that have another one near. The similarity of a pair is then estimated from all bits (standard error 0.02 at
+0.8). Five standard errors over the bound it is a link, five below it is none, and what lies between is decided
+by the exact similarity of the
 texts, so texts travel for few pairs only.
 
 Every candidate pair is either compared or already in one component. Members of a large key meet a leader
 first, the member that shares most keys with most others: a base whose copies are alike only through it is
 found at once. What is not joined by it meets more leaders, 64 and then 16 times as many in every round; a leader
 has then met all others and leaves the key. A member gets the signatures of up to 64 leaders as one row, and
-only pairs that may be alike become rows, in the first key that they share. A key of few members is compared
-in full.
+only pairs that may be alike become rows, in the first key that they share. Later, a key of few members is
+compared in full.
 """
 
 from __future__ import annotations
@@ -34,20 +36,37 @@ from dayfold.llm.syncmers import gram_hashes, mixed
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, MINIMA = 40, 8
-#: Standard error of an estimate from BANDS * MINIMA minima, and the estimates between which texts decide.
-ERROR = (SIMILAR * (1 - SIMILAR) / (BANDS * MINIMA)) ** 0.5
-LOW, HIGH = SIMILAR - 3.5 * ERROR, SIMILAR + 5 * ERROR
+#: Bits of a fingerprint; keys and bits of each key.
+BITS, BANDS, KEY_BITS = 2048, 100, 18
+#: Members of a key that compare their heads with each other, and the bits in which heads of near copies differ at most.
+CHANCE, HEAD_BITS = 512, 21
+#: Bits in which sets of similarity SIMILAR agree: the angle between sets of one size.
+AGREEING = 1 - np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi
+
+
+def estimate(agreeing: np.ndarray) -> np.ndarray:
+    """Similarity from the share of equal bits of two fingerprints."""
+    cosine = np.maximum(np.cos(np.pi * (1 - np.asarray(agreeing))), 0)
+    return cosine / (2 - cosine)
+
+
+#: Standard error of an estimate at SIMILAR, and the estimates between which texts decide.
+ERROR = (estimate(AGREEING + 1e-4) - estimate(AGREEING - 1e-4)) / 2e-4 * (AGREEING * (1 - AGREEING) / BITS) ** 0.5
+LOW, HIGH = SIMILAR - 5 * ERROR, SIMILAR + 5 * ERROR
 #: Members of a key up to which all are compared at once.
 FEW = 16
 #: Leaders whose signatures make up one row.
 LEADERS = 64
-STEP = 1 << 11
+#: Shingles whose bits are added up at a time; their sums fit into bytes.
+STEP = 255
 #: Bytes of text that a worker holds as shingles at a time.
 STEP_BYTES = 200_000
 _rng = np.random.default_rng(11)
-FACTORS = _rng.integers(0, 2 ** 64, BANDS * MINIMA, np.uint64) | np.uint64(1)
-POWERS = _rng.integers(0, 2 ** 64, (BANDS, MINIMA), np.uint64) | np.uint64(1)
+FACTORS = _rng.integers(0, 2 ** 64, BITS // 64, np.uint64) | np.uint64(1)
+SALT = _rng.integers(0, 2 ** 64, dtype=np.uint64)
+#: The bits of each key, none in two, and those of the head.
+_places = _rng.permutation(BITS)
+PLACES, HEAD = _places[:BANDS * KEY_BITS], _places[-64:]
 NONE = np.zeros(0, np.uint64)
 ESTIMATE = "u long, v long, estimate double"
 
@@ -66,34 +85,36 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def set_digest(shingles: np.ndarray) -> np.ndarray:
-    return mixed(shingles ^ POWERS[0, 0]).sum(dtype=np.uint64)
+    return mixed(shingles ^ SALT).sum(dtype=np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * MINIMA, 2 ** 64 - 1, np.uint64)
+def fingerprint(shingles: np.ndarray) -> bytes:
+    """Majority bits of BITS bits made of each shingle's hash."""
+    counts = np.zeros(BITS, np.int64)
     for at in range(0, len(shingles), STEP):
-        least = np.minimum(least, (shingles[at:at + STEP, None] * FACTORS).min(axis=0))
-    return least
+        bits = mixed(shingles[at:at + STEP, None] * FACTORS).view(np.uint8)
+        counts += np.add.reduce(np.unpackbits(bits, axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(shingles)).tobytes()
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    return mixed((least.reshape(BANDS, MINIMA) * POWERS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+def fingerprints(column: pa.Array) -> np.ndarray:
+    """A row of bytes for each fingerprint of a column."""
+    return text_buffers(column)[0].reshape(-1, BITS // 8)
 
 
-def signature(least: np.ndarray) -> bytes:
-    """One byte of each minimum, then four of each band's key."""
-    return (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes() + band_keys(least).astype("<u4").tobytes()
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    """The keys of each fingerprint: the bits of a band, and above them its number."""
+    bits = np.unpackbits(rows, axis=1)[:, PLACES].reshape(len(rows), BANDS, KEY_BITS)
+    return bits @ (1 << np.arange(KEY_BITS)) + (np.arange(BANDS) << KEY_BITS)
 
 
-def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of minima, keys of bands) of each row of a signature column."""
-    rows = text_buffers(column)[0].reshape(-1, BANDS * (MINIMA + 4))
-    return rows[:, :BANDS * MINIMA], np.ascontiguousarray(rows[:, BANDS * MINIMA:]).view("<u4")
+def heads(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.packbits(np.unpackbits(rows, axis=1)[:, HEAD], axis=1)).view(np.int64)[:, 0]
 
 
-def estimate(agreeing: np.ndarray) -> np.ndarray:
-    """Similarity from the share of equal signature bytes; different minima agree in one of 256."""
-    return (256 * agreeing - 1) / 255
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal bits of the fingerprints in the rows."""
+    return 1 - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) / BITS
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -102,24 +123,40 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, keys, signatures = [], [], []
+        fps, made = [], []
         for shingles in shingle_sets(batch.column("text")):
-            least = minima(shingles)
             fps.append(set_digest(shingles))
-            keys.append(band_keys(least))
-            signatures.append(signature(least))
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-        values = [batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(signatures, pa.binary())]
-        yield pa.RecordBatch.from_arrays(values, ["doc_id", "text_key", "fp", "keys", "signature"])
+            made.append(fingerprint(shingles))
+        values = [batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(made, pa.binary())]
+        yield pa.RecordBatch.from_arrays(values, ["doc_id", "text_key", "fp", "signature"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = fingerprints(batch.column("signature"))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(rows).ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(heads(rows)), lists], ["fp", "head", "keys"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members (key, fp) of each key whose head is near that of another member."""
+    for batch in batches:
+        members = batch.column("members")
+        offsets = members.offsets.to_numpy() - members.offsets[0].as_py()
+        flat = members.flatten()
+        fps, head = flat.field("fp").to_numpy(), flat.field("head").to_numpy().view(np.uint64)
+        near = np.zeros(len(fps), bool)
+        for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+            near[a:b] = (np.bitwise_count(head[a:b, None] ^ head[None, a:b]) <= HEAD_BITS).sum(axis=1) > 1
+        keys = np.repeat(batch.column("key").to_numpy(), np.diff(offsets))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[near]), pa.array(fps[near])], ["key", "fp"])
 
 
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        u, v = (signatures(batch.column(c))[0] for c in ("u_signature", "v_signature"))
-        found = estimate((u == v).mean(axis=1)) if batch.num_rows else np.zeros(0)
+        found = estimate(agreeing(*(fingerprints(batch.column(c)) for c in ("u_signature", "v_signature"))))
         near = found >= LOW
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(near)), batch.column("v").filter(pa.array(near)), pa.array(found[near])], ["u", "v", "estimate"])
 
@@ -131,15 +168,17 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """
     for batch in batches:
         u, v, values = [], [], []
-        own, own_bands = signatures(batch.column("signature"))
+        own = fingerprints(batch.column("signature"))
+        own_bands = band_keys(own)
         leaders = batch.column("leaders")
         offsets = leaders.offsets.to_numpy() - leaders.offsets[0].as_py()
         flat = leaders.flatten()
         fps, roots = flat.field("fp").to_numpy(), flat.field("root").to_numpy()
-        theirs, their_bands = signatures(flat.field("signature"))
+        theirs = fingerprints(flat.field("signature"))
+        their_bands = band_keys(theirs)
         for i, (band, fp, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "fp", "root")))):
             some = slice(offsets[i], offsets[i + 1])
-            found = estimate((theirs[some] == own[i]).mean(axis=1))
+            found = estimate(agreeing(theirs[some], own[i]))
             near = np.flatnonzero((found >= LOW) & (roots[some] != root) & ((their_bands[some] == own_bands[i]).argmax(axis=1) == band))
             sure = near[found[near] >= HIGH]
             first = sure[np.unique(roots[some][sure], return_index=True)[1]]
@@ -188,7 +227,7 @@ def similar_roots(filed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
     while True:
         placed = written(_rooted(filed, roots), "members")
         sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-        sizes = sizes.where("least < most").select("key", (F.col("n") <= FEW).alias("few"))
+        sizes = sizes.where("least < most").select("key", (F.col("n") <= (2 if leading == 1 else FEW)).alias("few"))
         still = written(placed.join(sizes, "key"), "open")
         if still.isEmpty():
             return roots
@@ -227,13 +266,17 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = keyed_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     place: Column = F.coalesce("doc_id", "text_key").alias("place")
-    made = rows.mapInArrow(released(_keys), "doc_id long, text_key long, fp long, keys array<long>, signature binary")
+    made = rows.mapInArrow(released(_fingerprints), "doc_id long, text_key long, fp long, signature binary")
     made = written(made, "shingles")
-    nodes = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(place, "text_key", "keys", "signature")).alias("at"))
+    nodes = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(place, "text_key", "signature")).alias("at"))
     nodes = written(nodes.select("fp", "least", "at.*"), "nodes")
-    every = nodes.select("fp", F.posexplode("keys").alias("band", "key"))
+    every = nodes.select("fp", "signature").mapInArrow(released(_keys), "fp long, head long, keys array<long>").select("fp", "head", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    filed = written(every.join(shared, "key"), "shared")
+    shared = written(every.join(shared, "key"), "shared")
+    some = shared.where(F.col("n") <= CHANCE).groupBy("key").agg(F.collect_list(F.struct("fp", "head")).alias("members"))
+    met = some.mapInArrow(released(_met), "key long, fp long").union(shared.where(F.col("n") > CHANCE).select("key", "fp"))
+    met = written(met, "met")
+    filed = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("band", F.shiftright("key", KEY_BITS).cast("int"))
     weights = filed.groupBy("fp").agg(F.sum("n").alias("weight"))
     filed = written(filed.join(weights, "fp").select("key", "band", "fp", "weight"), "filed")
     wanted = nodes.join(weights.select("fp"), "fp", "left_semi").select("fp", "place", "text_key")
