@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, quality, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept. The first two
-drop documents, the third keeps one of each near-duplicate group (shingles of five words, similarity 0.8), the fourth cuts repeated passages out of
+drop documents, the third keeps one of each near-duplicate group (SimHash of five-word shingles, similarity 0.8), the fourth cuts repeated passages out of
 the texts, the last packs what is left. Labels of `sf_dir` serve to fit the two classifiers. A null text is
 empty: it fails the quality rules. Every stage gives an empty table for an empty one.
 """

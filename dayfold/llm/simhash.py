@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The documents, whole rows, whose doc_id is the smallest of its near-duplicate group.
 
-    The groups are those of `shingles` (five words, similarity 0.8), not those of `near_duplicates`.
+    The groups are those of `shingles` (SimHash over five words, similarity 0.8), not those of `near_duplicates`.
     Repeated rows of one doc_id are one document and give one row, the one whose hash is smallest. Rows with a
     null doc_id cannot be named as a group's representative by others and stay as they are.
     """
