@@ -57,6 +57,8 @@ LOW, HIGH = SIMILAR - 5 * ERROR, SIMILAR + 5 * ERROR
 FEW = 16
 #: Leaders whose signatures make up one row.
 LEADERS = 64
+#: Fingerprints whose keys are made at a time: each bit takes eight bytes meanwhile.
+KEY_ROWS = 256
 #: Shingles whose bits are added up at a time; their sums fit into bytes.
 STEP = 255
 #: Bytes of text that a worker holds as shingles at a time.
@@ -104,8 +106,11 @@ def fingerprints(column: pa.Array) -> np.ndarray:
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
     """The keys of each fingerprint: the bits of a band, and above them its number."""
-    bits = np.unpackbits(rows, axis=1)[:, PLACES].reshape(len(rows), BANDS, KEY_BITS)
-    return bits @ (1 << np.arange(KEY_BITS)) + (np.arange(BANDS) << KEY_BITS)
+    found = np.empty((len(rows), BANDS), np.int64)
+    for at in range(0, len(rows), KEY_ROWS):
+        bits = np.unpackbits(rows[at:at + KEY_ROWS], axis=1)[:, PLACES].reshape(-1, BANDS, KEY_BITS)
+        found[at:at + KEY_ROWS] = bits @ (1 << np.arange(KEY_BITS)) + (np.arange(BANDS) << KEY_BITS)
+    return found
 
 
 def heads(rows: np.ndarray) -> np.ndarray:
@@ -175,11 +180,11 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         flat = leaders.flatten()
         fps, roots = flat.field("fp").to_numpy(), flat.field("root").to_numpy()
         theirs = fingerprints(flat.field("signature"))
-        their_bands = band_keys(theirs)
         for i, (band, fp, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "fp", "root")))):
             some = slice(offsets[i], offsets[i + 1])
             found = estimate(agreeing(theirs[some], own[i]))
-            near = np.flatnonzero((found >= LOW) & (roots[some] != root) & ((their_bands[some] == own_bands[i]).argmax(axis=1) == band))
+            near = np.flatnonzero((found >= LOW) & (roots[some] != root))
+            near = near[(band_keys(theirs[some][near]) == own_bands[i]).argmax(axis=1) == band]
             sure = near[found[near] >= HIGH]
             first = sure[np.unique(roots[some][sure], return_index=True)[1]]
             near = np.concatenate((first, near[found[near] < HIGH]))

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -126,3 +127,20 @@ def test_fingerprints_are_majority_bits():
     shingles = np.random.default_rng(7).integers(0, 2 ** 64, 700, np.uint64)
     bits = np.unpackbits(S.mixed(shingles[:, None] * S.FACTORS).view(np.uint8), axis=1).astype(int)
     assert S.fingerprint(shingles) == np.packbits(2 * bits.sum(axis=0) > 700).tobytes()
+
+
+def test_leaders_take_little_memory():
+    """A batch of 400 members with 64 leaders each: keys are made for the near leaders only, some rows at a time."""
+    rng = np.random.default_rng(8)
+    members = rng.integers(0, 256, (400, S.BITS // 8), np.uint8)
+    lists = [[{"fp": 1000 + 64 * i + k, "root": 1000 + 64 * i + k, "signature": (members[i] if k == i % 64 else rng.integers(0, 256, S.BITS // 8, np.uint8)).tobytes()}
+              for k in range(64)] for i in range(400)]
+    kinds = pa.list_(pa.struct([("fp", pa.int64()), ("root", pa.int64()), ("signature", pa.binary())]))
+    columns = [pa.array([0] * 400, pa.int32()), pa.array(range(400)), pa.array(range(400)), pa.array([m.tobytes() for m in members]), pa.array(lists, kinds)]
+    batch = pa.RecordBatch.from_arrays(columns, ["band", "fp", "root", "signature", "leaders"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(S._with_leaders([batch])).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(zip(found["u"], found["v"])) == [(1000 + 64 * i + i % 64, i) for i in range(400)]
+    assert peak < 60e6
