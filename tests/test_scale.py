@@ -36,3 +36,17 @@ def test_labels_and_folds_are_made_once(spark):
     """The plan reads what was stored; it has no event columns left to aggregate."""
     for name in ("fold_safe_prior", "ordered_subject_statistics", "selected_with_fallback"):
         assert "event_type" not in plan(all_queries()[name].spark(spark, DATA)), name
+
+
+def test_daily_table_reads_stored_parts(spark):
+    """Sensor parts are stored by plans of their own: what is left merges files and reads no event."""
+    for name in ("advanced_interactions", "daily_feature_table"):
+        text = plan(all_queries()[name].spark(spark, DATA))
+        assert "event_type" not in text and "get_json_object" not in text, name
+
+
+def test_frames_are_stored_side_by_side(spark):
+    frames = [spark.range(n).withColumn("twice", F.col("id") * 2) for n in (3, 0, 7)]
+    stored = session.cut_side_by_side(frames)
+    assert [sorted(map(tuple, s.collect())) for s in stored] == [sorted(map(tuple, f.collect())) for f in frames]
+    assert [s.dtypes for s in stored] == [f.dtypes for f in frames] and session.cut_side_by_side([]) == []
