@@ -2,12 +2,13 @@
 
 Candidates come from SimHash. A fingerprint has 2,048 majority bits of the shingle hashes; two sets whose
 similarity is 0.8 agree in a bit with probability 0.85, unrelated ones with 0.5. There are 100 keys of 18 bits
-each: a pair at 0.8 shares one with probability 0.995, one at 0.85 with 0.9998. A 64-bit fingerprint with whole
-blocks as keys cannot serve here: at 0.8 two of them differ in some 10 bits, 16 at the tail, so no selective
-block of bits agrees.
+each: a pair at 0.8 shares one with probability 0.995, one at 0.85 with 0.9998. Twice as many sets take keys of one
+bit more, and as many keys as find such a pair as surely, so a set meets few unrelated ones in a key of a table of any
+size. A 64-bit fingerprint with whole blocks as keys cannot serve here: at 0.8 two of them differ in some 10 bits, 16
+at the tail, so no selective block of bits agrees.
 
-Unrelated sets meet by chance, too, so the members of a key compare 64 further bits first, and only those stay
-that have another one near. The similarity of a pair is then estimated from all bits (standard error 0.02 at
+Unrelated sets meet by chance, too, so the members of a key, which one sort brings together, compare 64 further bits
+first, and only those stay that have another one near. The similarity of a pair is then estimated from all bits (standard error 0.02 at
 0.8). Five standard errors over the bound it is a link, five below it is none, and what lies between is decided
 by the exact similarity of the
 texts, so texts travel for few pairs only.
@@ -18,11 +19,17 @@ found at once. What is not joined by it meets more leaders, 64 and then 16 times
 has then met all others and leaves the key. A member gets the signatures of up to 64 leaders as one row, and
 only pairs that may be alike become rows, in the first key that they share. Later, a key of few members is
 compared in full.
+
+A large family is mostly one component after the first round, and the copies that are left are under the bound to each
+other, though not by much. After that round the shingles of the members left are counted: two sets have no more in common
+than the lesser has of shingles that another component has too. That bounds their similarity from above, and pairs
+under 0.8 by it, like members that can reach 0.8 with none, are not compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +43,12 @@ from dayfold.llm.syncmers import gram_hashes, mixed
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Bits of a fingerprint; keys and bits of each key.
-BITS, BANDS, KEY_BITS = 2048, 100, 18
+#: Bits of a fingerprint; keys and bits of each key in a table of up to 2 ** (KEY_BITS - ROOM) sets.
+BITS, BANDS, KEY_BITS, ROOM = 2048, 100, 18, 2
+#: Share of pairs at SIMILAR that keys of more bits may miss; those of KEY_BITS miss as many.
+MISSED = 0.005
+#: Rows of keys that one task sorts, about, and rows whose runs are looked through at a time.
+KEY_TASK, RUN_ROWS = 2_000_000, 1 << 16
 #: Members of a key that compare their heads with each other, and the bits in which heads of near copies differ at most.
 CHANCE, HEAD_BITS = 512, 21
 #: Bits in which sets of similarity SIMILAR agree: the angle between sets of one size.
@@ -104,12 +115,41 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     return text_buffers(column)[0].reshape(-1, BITS // 8)
 
 
-def band_keys(rows: np.ndarray) -> np.ndarray:
+def key_bits(sets: int) -> int:
+    """Bits of the keys of a table: there are at least 2 ** ROOM / 2 times as many keys of a band as sets."""
+    return max(KEY_BITS, sets.bit_length() + ROOM)
+
+
+@cache
+def band_places(bits: int) -> np.ndarray:
+    """The bits of each key, a row for each; no bit is in two keys while the fingerprint lasts, then they are dealt anew.
+
+    Keys of more than KEY_BITS bits are as many as a pair at SIMILAR needs to miss all with probability MISSED, over all
+    numbers of bits in which its fingerprints may agree.
+    """
+    if bits == KEY_BITS:
+        return PLACES.reshape(BANDS, KEY_BITS)
+    agree = np.arange(BITS + 1)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(agree[1:]))))
+    share = np.exp(logs[-1] - logs - logs[::-1] + agree * np.log(AGREEING) + (BITS - agree) * np.log(1 - AGREEING))
+    bands, miss = BANDS, 1 - (agree / BITS) ** bits
+    while (share * miss ** bands).sum() > MISSED:
+        bands += 1
+    rng = np.random.default_rng(bits)
+    free, dealt = _places[:-64], []
+    while len(dealt) < bands:
+        dealt += [*free[:len(free) // bits * bits].reshape(-1, bits)]
+        free = rng.permutation(free)
+    return np.array(dealt[:bands])
+
+
+def band_keys(rows: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
     """The keys of each fingerprint: the bits of a band, and above them its number."""
-    found = np.empty((len(rows), BANDS), np.int64)
+    places = band_places(bits)
+    found = np.empty((len(rows), len(places)), np.int64)
     for at in range(0, len(rows), KEY_ROWS):
-        bits = np.unpackbits(rows[at:at + KEY_ROWS], axis=1)[:, PLACES].reshape(-1, BANDS, KEY_BITS)
-        found[at:at + KEY_ROWS] = bits @ (1 << np.arange(KEY_BITS)) + (np.arange(BANDS) << KEY_BITS)
+        some = np.unpackbits(rows[at:at + KEY_ROWS], axis=1)[:, places]
+        found[at:at + KEY_ROWS] = some @ (1 << np.arange(bits)) + (np.arange(len(places)) << bits)
     return found
 
 
@@ -138,27 +178,99 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(values, ["doc_id", "text_key", "fp", "signature"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = fingerprints(batch.column("signature"))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(rows).ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(heads(rows)), lists], ["fp", "head", "keys"])
+        found = band_keys(rows, bits)
+        each = found.shape[1]
+        columns = [pa.array(found.ravel()), pa.array(np.repeat(batch.column("fp").to_numpy(), each)), pa.array(np.repeat(heads(rows), each))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "head"])
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members (key, fp) of each key whose head is near that of another member."""
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """The columns of rows sorted by the first one, some at a time and never a part of a run of equal values.
+
+    A run of more than RUN_ROWS comes in parts, each by itself and with True.
+    """
+    held, rows, long = [], 0, None
+
+    def cut(end: bool) -> Iterator[tuple[list[np.ndarray], bool]]:
+        nonlocal held, rows, long
+        columns = [np.concatenate(c) for c in zip(*held)]
+        if long is not None:
+            of_long = int(np.searchsorted(columns[0], long, "right"))
+            if of_long:
+                yield [c[:of_long] for c in columns], True
+            columns = [c[of_long:] for c in columns]
+        if len(columns[0]):
+            long = None
+            last = len(columns[0]) if end else int(np.searchsorted(columns[0], columns[0][-1], "left"))
+            if last:
+                yield [c[:last] for c in columns], False
+            elif len(columns[0]) >= RUN_ROWS:
+                long, last = columns[0][-1], len(columns[0])
+                yield columns, True
+            columns = [c[last:] for c in columns]
+        held, rows = [columns], len(columns[0])
+
     for batch in batches:
-        members = batch.column("members")
-        offsets = members.offsets.to_numpy() - members.offsets[0].as_py()
-        flat = members.flatten()
-        fps, head = flat.field("fp").to_numpy(), flat.field("head").to_numpy().view(np.uint64)
-        near = np.zeros(len(fps), bool)
-        for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
-            near[a:b] = (np.bitwise_count(head[a:b, None] ^ head[None, a:b]) <= HEAD_BITS).sum(axis=1) > 1
-        keys = np.repeat(batch.column("key").to_numpy(), np.diff(offsets))
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += len(batch)
+        if rows >= RUN_ROWS:
+            yield from cut(False)
+    if rows:
+        yield from cut(True)
+
+
+def near_members(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Whether the head of a row is near that of another row of its key; rows of a key of more than CHANCE rows count as near."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    size = np.repeat(sizes, sizes)
+    near = size > CHANCE
+    some = np.flatnonzero((size > 1) & ~near)
+    keys, head, found, at = keys[some], head[some], np.zeros(len(some), bool), np.arange(len(some))
+    for apart in range(1, CHANCE):
+        at = at[at + apart < len(some)]
+        at = at[keys[at] == keys[at + apart]]
+        if not len(at):
+            break
+        close = at[np.bitwise_count((head[at] ^ head[at + apart]).view(np.uint64)) <= HEAD_BITS]
+        found[close] = found[close + apart] = True
+    near[some[found]] = True
+    return near
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members (key, fp) of each key whose head is near that of another member, of rows (key, fp, head) sorted by key."""
+    for (keys, fps, head), long in whole_runs(batches):
+        near = slice(None) if long else near_members(keys, head)
         yield pa.RecordBatch.from_arrays([pa.array(keys[near]), pa.array(fps[near])], ["key", "fp"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for fp, root, shingles in zip(batch.column("fp").to_pylist(), batch.column("root").to_pylist(), shingle_sets(batch.column("text"))):
+            columns = [pa.array(shingles.view(np.int64)), pa.array(np.full(len(shingles), fp)), pa.array(np.full(len(shingles), root))]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "fp", "root"])
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, size, common): shingles of a node and those of them that another component has too, summed over some rows."""
+    for (shingles, fps, roots), long in whole_runs(batches):
+        starts = np.flatnonzero(np.concatenate(([True], shingles[1:] != shingles[:-1])))
+        several = (np.minimum.reduceat(roots, starts) < np.maximum.reduceat(roots, starts)) | long  # a part may hold one component only
+        nodes, place = np.unique(fps, return_inverse=True)
+        common = np.repeat(several, np.diff(np.append(starts, len(fps))))
+        columns = [nodes, np.bincount(place, minlength=len(nodes)), np.bincount(place[common], minlength=len(nodes))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "size", "common"])
+
+
+def reachable(size, other, common):
+    """Whether sets of these sizes that have `common` shingles in common at most may reach SIMILAR; arrays or columns."""
+    return (1 + SIMILAR) * common + 1e-6 >= SIMILAR * (size + other)
+
+
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = estimate(agreeing(*(fingerprints(batch.column(c)) for c in ("u_signature", "v_signature"))))
@@ -166,25 +278,33 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(near)), batch.column("v").filter(pa.array(near)), pa.array(found[near])], ["u", "v", "estimate"])
 
 
-def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_leaders(batches: Iterator[pa.RecordBatch], bits: int = KEY_BITS) -> Iterator[pa.RecordBatch]:
     """Pairs of a member (band, fp, root, signature) and those of its key's leaders that may be alike and are not in its component.
 
+    Members and leaders that have a size and a common number, too, meet only if these allow it.
     A pair is left to the first band that both have in common; of leaders of one component that are surely alike, the first stands for all.
     """
     for batch in batches:
         u, v, values = [], [], []
         own = fingerprints(batch.column("signature"))
-        own_bands = band_keys(own)
+        own_bands = band_keys(own, bits)
         leaders = batch.column("leaders")
         offsets = leaders.offsets.to_numpy() - leaders.offsets[0].as_py()
         flat = leaders.flatten()
         fps, roots = flat.field("fp").to_numpy(), flat.field("root").to_numpy()
         theirs = fingerprints(flat.field("signature"))
+        counted = "common" in batch.schema.names
+        if counted:
+            size, common = (batch.column(c).to_numpy() for c in ("size", "common"))
+            their_size, their_common = (flat.field(c).to_numpy() for c in ("size", "common"))
         for i, (band, fp, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "fp", "root")))):
             some = slice(offsets[i], offsets[i + 1])
             found = estimate(agreeing(theirs[some], own[i]))
-            near = np.flatnonzero((found >= LOW) & (roots[some] != root))
-            near = near[(band_keys(theirs[some][near]) == own_bands[i]).argmax(axis=1) == band]
+            may = (found >= LOW) & (roots[some] != root)
+            if counted:
+                may &= reachable(size[i], their_size[some], np.minimum(common[i], their_common[some]))
+            near = np.flatnonzero(may)
+            near = near[(band_keys(theirs[some][near], bits) == own_bands[i]).argmax(axis=1) == band]
             sure = near[found[near] >= HIGH]
             first = sure[np.unique(roots[some][sure], return_index=True)[1]]
             near = np.concatenate((first, near[found[near] < HIGH]))
@@ -223,22 +343,47 @@ def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def similar_roots(filed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _open(placed: DataFrame, few: int) -> DataFrame:
+    """The members of keys of several components, and whether their key has few members."""
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    sizes = sizes.where("least < most").select("key", (F.col("n") <= few).alias("few"))
+    return written(placed.join(sizes, "key"), "open")
+
+
+def reach(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(fp, size, common) of the members (fp, root) that may be alike with one of another component.
+
+    `size` counts a member's shingles, `common` those that a member of another component has too.
+    """
+    every = texts.join(members, "fp").mapInArrow(released(_shingles), "shingle long, fp long, root long")
+    counted = every.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(released(_common), "fp long, size long, common long")
+    counted = counted.groupBy("fp").agg(F.sum("size").alias("size"), F.sum("common").alias("common"))
+    return counted.where(F.col("common") + 1e-6 >= SIMILAR * F.col("size"))
+
+
+def similar_roots(filed: DataFrame, nodes: DataFrame, texts: DataFrame, bits: int = KEY_BITS) -> DataFrame | None:
     """(node, root) of the components of all pairs that share a key and are alike; None without a shared key.
 
-    `filed` has (key, band, fp, weight), `nodes` (fp, signature), `texts` (fp, text).
+    `filed` has (key, band, fp, weight), the keys being of `bits` bits, `nodes` (fp, signature), `texts` (fp, text).
     """
-    roots, leading = None, 1
+    roots, leading, counts = None, 1, []
     while True:
         placed = written(_rooted(filed, roots), "members")
-        sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-        sizes = sizes.where("least < most").select("key", (F.col("n") <= (2 if leading == 1 else FEW)).alias("few"))
-        still = written(placed.join(sizes, "key"), "open")
+        still = _open(placed, 2 if leading == 1 else FEW)
         if still.isEmpty():
             return roots
-        few, many = still.where("few").select("key", "fp", "root"), still.where("not few").drop("few")
-        as_leader = few.withColumnsRenamed({"fp": "v", "root": "v_root"})
-        pairs = few.join(as_leader, "key").where("root <> v_root and fp > v").select(F.col("fp").alias("u"), "v").distinct()
+        if roots is not None and not counts:
+            counts = ["size", "common"]
+            of_members = written(reach(still.select("fp", "root").distinct(), texts), "reach")
+            still = _open(still.drop("few").join(of_members, "fp"), FEW)
+            if still.isEmpty():
+                return roots
+        few, many = still.where("few").select("key", "fp", "root", *counts), still.where("not few").drop("few")
+        as_leader = few.withColumnsRenamed({"fp": "v", "root": "v_root", "size": "v_size", "common": "v_common"})
+        pairs = few.join(as_leader, "key").where("root <> v_root and fp > v")
+        if counts:
+            pairs = pairs.where(reachable(F.col("size"), F.col("v_size"), F.least("common", "v_common")))
+        pairs = pairs.select(F.col("fp").alias("u"), "v").distinct()
         near = _with_both(pairs, nodes, "signature").mapInArrow(released(_estimates), ESTIMATE)
         more = not many.isEmpty()
         if more:
@@ -247,12 +392,12 @@ def similar_roots(filed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
                 leaders = many.groupBy("key").agg(first).select("key", "x.fp", "x.root", F.lit(1).alias("rank"))
             else:
                 rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), F.desc(-F.col("fp"))))
-                leaders = many.withColumn("rank", rank).where(F.col("rank") <= leading).select("key", "fp", "root", "rank")
+                leaders = many.withColumn("rank", rank).where(F.col("rank") <= leading).select("key", "fp", "root", "rank", *counts)
             leaders = written(leaders, "leaders")
             part = F.floor((F.col("rank") - 1) / LEADERS)
-            signed = leaders.join(nodes, "fp").groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("fp", "root", "signature")).alias("leaders"))
-            led = many.join(nodes, "fp").join(signed, "key").select("band", "fp", "root", "signature", "leaders")
-            near = near.union(led.mapInArrow(released(_with_leaders), ESTIMATE))
+            signed = leaders.join(nodes, "fp").groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("fp", "root", "signature", *counts)).alias("leaders"))
+            led = many.join(nodes, "fp").join(signed, "key").select("band", "fp", "root", "signature", *counts, "leaders")
+            near = near.union(led.mapInArrow(released(partial(_with_leaders, bits=bits)), ESTIMATE))
         links = alike(near, texts)
         if roots is not None:
             links = links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -275,17 +420,17 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = written(made, "shingles")
     nodes = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(place, "text_key", "signature")).alias("at"))
     nodes = written(nodes.select("fp", "least", "at.*"), "nodes")
-    every = nodes.select("fp", "signature").mapInArrow(released(_keys), "fp long, head long, keys array<long>").select("fp", "head", F.explode("keys").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(every.join(shared, "key"), "shared")
-    some = shared.where(F.col("n") <= CHANCE).groupBy("key").agg(F.collect_list(F.struct("fp", "head")).alias("members"))
-    met = some.mapInArrow(released(_met), "key long, fp long").union(shared.where(F.col("n") > CHANCE).select("key", "fp"))
+    sets = nodes.count()
+    bits = key_bits(sets)
+    every = nodes.select("fp", "signature").mapInArrow(released(partial(_keys, bits=bits)), "key long, fp long, head long")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sets * len(band_places(bits)) // KEY_TASK)
+    met = every.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(released(_met), "key long, fp long")
     met = written(met, "met")
-    filed = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("band", F.shiftright("key", KEY_BITS).cast("int"))
+    filed = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("band", F.shiftright("key", bits).cast("int"))
     weights = filed.groupBy("fp").agg(F.sum("n").alias("weight"))
     filed = written(filed.join(weights, "fp").select("key", "band", "fp", "weight"), "filed")
     wanted = nodes.join(weights.select("fp"), "fp", "left_semi").select("fp", "place", "text_key")
     texts = rows.select("text", place, "text_key").join(wanted, ["place", "text_key"]).select("fp", "text").dropDuplicates(["fp"])
-    roots = similar_roots(filed, nodes.select("fp", "signature"), written(texts, "texts"))
+    roots = similar_roots(filed, nodes.select("fp", "signature"), written(texts, "texts"), bits)
     placed = written(_rooted(nodes.select("fp", "least"), roots), "placed")
     return placed.groupBy("root").agg(F.min("least").alias("_kept")).where("_kept is not null").select("_kept").distinct()

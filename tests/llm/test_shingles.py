@@ -144,3 +144,61 @@ def test_leaders_take_little_memory():
     tracemalloc.stop()
     assert list(zip(found["u"], found["v"])) == [(1000 + 64 * i + i % 64, i) for i in range(400)]
     assert peak < 60e6
+
+
+def test_keys_grow_with_the_table():
+    """Four times the sets take keys of two bits more, so that unrelated ones share as few; pairs at the bound are found as before."""
+    rng = np.random.default_rng(12)
+    assert S.key_bits(40_000) == S.KEY_BITS and S.key_bits(160_000) == S.KEY_BITS + 2 and S.key_bits(10 ** 7) >= 26
+    for bits in (S.KEY_BITS, S.KEY_BITS + 2):
+        places = S.band_places(bits)
+        assert places.shape[1] == bits and all(len(set(p)) == bits for p in places.tolist())
+        one = rng.integers(0, 2, (1000, S.BITS), np.uint8)
+        two = one ^ (rng.random(one.shape) > S.AGREEING).astype(np.uint8)
+        hits = S.band_keys(np.packbits(one, axis=1), bits) == S.band_keys(np.packbits(two, axis=1), bits)
+        assert hits.any(axis=1).mean() > 0.98
+    unrelated = [len(np.unique(k)) for k in S.band_keys(rng.integers(0, 256, (20_000, S.BITS // 8), np.uint8), 20)[:, :3].T]
+    assert min(unrelated) > 0.98 * 20_000
+
+
+def test_members_of_sorted_keys(monkeypatch):
+    """Rows sorted by key, in batches of every size, give the members that a comparison of all pairs of a key gives."""
+    monkeypatch.setattr(S, "RUN_ROWS", 50)
+    monkeypatch.setattr(S, "CHANCE", 20)
+    rng = np.random.default_rng(13)
+    keys = np.sort(np.concatenate((rng.integers(0, 200, 500), np.full(30, 77), np.full(300, 120), np.full(90, 199))))
+    bases = rng.integers(0, 2 ** 63, 4, np.int64)
+    head = bases[rng.integers(0, 4, len(keys))] ^ (1 << rng.integers(0, 60, len(keys)))
+    head = np.where(rng.random(len(keys)) < 0.5, rng.integers(0, 2 ** 63, len(keys), np.int64), head)
+    fps = np.arange(len(keys))
+    want = []
+    for k in np.unique(keys):
+        mine = np.flatnonzero(keys == k)
+        for i in mine:
+            if len(mine) > S.CHANCE or any(j != i and int(head[i] ^ head[j]).bit_count() <= S.HEAD_BITS for j in mine):
+                want.append((int(k), int(i)))
+    cuts = [0, *np.sort(rng.choice(len(keys), 12, replace=False)).tolist(), len(keys)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a:b]) for c in (keys, fps, head)], ["key", "fp", "head"]) for a, b in zip(cuts, cuts[1:])]
+    got = [x for b in S._met(iter(batches)) for x in zip(b.column("key").to_pylist(), b.column("fp").to_pylist())]
+    assert sorted(got) == sorted(want) and 0 < len(want) < len(keys)
+    assert list(S._met(iter([]))) == []
+
+
+def test_members_out_of_reach_are_not_compared(spark):
+    """Sizes and common shingles as counted pair by pair; they keep every pair that is alike and drop sets mostly their own."""
+    rng = random.Random(14)
+    base = prose(rng, 200, [f"w{k}" for k in range(400)])
+    texts = [base, edited(rng, base, 2), edited(rng, base, 4), edited(rng, base, 14), prose(rng, 200, [f"v{k}" for k in range(400)])]
+    roots = [0, 0, 2, 3, 4]
+    frame = spark.createDataFrame(list(enumerate(texts)), "fp long, text string")
+    members = spark.createDataFrame(list(enumerate(roots)), "fp long, root long")
+    got = {r.fp: (r["size"], r.common) for r in S.reach(members, frame).collect()}
+    sets = [set(x.tolist()) for x in S.shingle_sets(pa.array(texts))]
+    others = [set().union(*(s for s, r in zip(sets, roots) if r != mine)) for mine in roots]
+    want = {i: (len(s), len(s & o)) for i, (s, o) in enumerate(zip(sets, others))}
+    assert got == {i: x for i, x in want.items() if x[1] >= 0.8 * x[0]} and set(got) == {0, 1, 2}
+    for i in got:
+        for j in got:
+            if roots[i] != roots[j]:
+                alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+                assert S.reachable(got[i][0], got[j][0], min(got[i][1], got[j][1])) >= alike
