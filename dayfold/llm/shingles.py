@@ -13,12 +13,11 @@ first, and only those stay that have another one near. The similarity of a pair
 by the exact similarity of the
 texts, so texts travel for few pairs only.
 
-Every candidate pair is either compared or already in one component. Members of a large key meet a leader
-first, the member that shares most keys with most others: a base whose copies are alike only through it is
-found at once. What is not joined by it meets more leaders, 64 and then 16 times as many in every round; a leader
-has then met all others and leaves the key. A member gets the signatures of up to 64 leaders as one row, and
-only pairs that may be alike become rows, in the first key that they share. Later, a key of few members is
-compared in full.
+Every candidate pair is either compared or already in one component. Each member first meets the leader of its
+largest key, the member that shares most keys with most others: a base whose copies are alike only through it is found at
+once. The members of keys that still hold several components meet the leader of each key, then 64 and 16 times as many
+in every round; a leader has then met all others and leaves the key. One sort brings leaders and members of a key
+together, and only pairs that may be alike become rows, in the first key that they share.
 
 A large family is mostly one component after the first round, and the copies that are left are under the bound to each
 other, though not by much. After that round the shingles of the members left are counted: two sets have no more in common
@@ -49,6 +48,8 @@ BITS, BANDS, KEY_BITS, ROOM = 2048, 100, 18, 2
 MISSED = 0.005
 #: Rows of keys that one task sorts, about, and rows whose runs are looked through at a time.
 KEY_TASK, RUN_ROWS = 2_000_000, 1 << 16
+#: Rows with signatures that are looked through at a time.
+SIGNED_ROWS = 1 << 13
 #: Members of a key that compare their heads with each other, and the bits in which heads of near copies differ at most.
 CHANCE, HEAD_BITS = 512, 21
 #: Bits in which sets of similarity SIMILAR agree: the angle between sets of one size.
@@ -64,10 +65,8 @@ def estimate(agreeing: np.ndarray) -> np.ndarray:
 #: Standard error of an estimate at SIMILAR, and the estimates between which texts decide.
 ERROR = (estimate(AGREEING + 1e-4) - estimate(AGREEING - 1e-4)) / 2e-4 * (AGREEING * (1 - AGREEING) / BITS) ** 0.5
 LOW, HIGH = SIMILAR - 5 * ERROR, SIMILAR + 5 * ERROR
-#: Members of a key up to which all are compared at once.
-FEW = 16
-#: Leaders whose signatures make up one row.
-LEADERS = 64
+#: Leaders that the members of a key meet after the first; later they are LEADERS_GROW times as many in each round.
+LEADERS, LEADERS_GROW = 64, 16
 #: Fingerprints whose keys are made at a time: each bit takes eight bytes meanwhile.
 KEY_ROWS = 256
 #: Shingles whose bits are added up at a time; their sums fit into bytes.
@@ -187,11 +186,16 @@ def _keys(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "head"])
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
+def run_starts(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
     """The columns of rows sorted by the first one, some at a time and never a part of a run of equal values.
 
-    A run of more than RUN_ROWS comes in parts, each by itself and with True.
+    A run of more than `limit` rows, or else RUN_ROWS, comes in parts, each by itself and with True.
     """
+    limit = limit or RUN_ROWS
     held, rows, long = [], 0, None
 
     def cut(end: bool) -> Iterator[tuple[list[np.ndarray], bool]]:
@@ -207,16 +211,16 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndar
             last = len(columns[0]) if end else int(np.searchsorted(columns[0], columns[0][-1], "left"))
             if last:
                 yield [c[:last] for c in columns], False
-            elif len(columns[0]) >= RUN_ROWS:
+            elif len(columns[0]) >= limit:
                 long, last = columns[0][-1], len(columns[0])
                 yield columns, True
             columns = [c[last:] for c in columns]
         held, rows = [columns], len(columns[0])
 
     for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns])
+        held.append([fingerprints(c) if c.type == pa.binary() else c.to_numpy() for c in batch.columns])
         rows += len(batch)
-        if rows >= RUN_ROWS:
+        if rows >= limit:
             yield from cut(False)
     if rows:
         yield from cut(True)
@@ -224,7 +228,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndar
 
 def near_members(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Whether the head of a row is near that of another row of its key; rows of a key of more than CHANCE rows count as near."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    starts = run_starts(keys)
     sizes = np.diff(np.append(starts, len(keys)))
     size = np.repeat(sizes, sizes)
     near = size > CHANCE
@@ -242,10 +246,53 @@ def near_members(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members (key, fp) of each key whose head is near that of another member, of rows (key, fp, head) sorted by key."""
+    """The members (key, fp, n) of each key whose head is near that of another member, of rows (key, fp, head) sorted by key.
+
+    `n` counts such members of the key, in a key of more than RUN_ROWS those of a part.
+    """
     for (keys, fps, head), long in whole_runs(batches):
-        near = slice(None) if long else near_members(keys, head)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[near]), pa.array(fps[near])], ["key", "fp"])
+        near = np.ones(len(keys), bool) if long else near_members(keys, head)
+        if near.any():
+            sizes = np.diff(np.append(run_starts(keys[near]), near.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[near]), pa.array(fps[near]), pa.array(np.repeat(sizes, sizes))], ["key", "fp", "n"])
+
+
+def _open(batches: Iterator[pa.RecordBatch], skip: int) -> Iterator[pa.RecordBatch]:
+    """The members (key, fp) that are left of each key without its first `skip`, if they are of several components.
+
+    Rows (key, weight, fp, root) come sorted by key, the first members first. Of a long key only fps are held until a
+    second component shows.
+    """
+    key = seen = root = None
+    held: list[np.ndarray] = []
+
+    def rows(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps)], ["key", "fp"])
+
+    for (keys, _, fps, roots), long in whole_runs(batches):
+        if long:
+            if keys[0] != key:
+                key, seen, root, held = keys[0], 0, None, []
+            left = slice(max(skip - seen, 0), None)
+            seen += len(keys)
+            keys, fps, roots = keys[left], fps[left], roots[left]
+            if not len(keys):
+                continue
+            root = roots[0] if root is None else root
+            held.append(fps)
+            if root == "several" or (roots != root).any():
+                root = "several"
+                yield from (rows(np.full(len(x), key), x) for x in held)
+                held = []
+            continue
+        starts = run_starts(keys)
+        left = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys)))) >= skip
+        keys, fps, roots = keys[left], fps[left], roots[left]
+        if len(keys):
+            starts = run_starts(keys)
+            several = np.minimum.reduceat(roots, starts) < np.maximum.reduceat(roots, starts)
+            several = np.repeat(several, np.diff(np.append(starts, len(keys))))
+            yield rows(keys[several], fps[several])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +305,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, size, common): shingles of a node and those of them that another component has too, summed over some rows."""
     for (shingles, fps, roots), long in whole_runs(batches):
-        starts = np.flatnonzero(np.concatenate(([True], shingles[1:] != shingles[:-1])))
+        starts = run_starts(shingles)
         several = (np.minimum.reduceat(roots, starts) < np.maximum.reduceat(roots, starts)) | long  # a part may hold one component only
         nodes, place = np.unique(fps, return_inverse=True)
         common = np.repeat(several, np.diff(np.append(starts, len(fps))))
@@ -278,10 +325,59 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(near)), batch.column("v").filter(pa.array(near)), pa.array(found[near])], ["u", "v", "estimate"])
 
 
+def first_of_sure(near: np.ndarray, found: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Places in `near` of leaders: of those of one component that are surely alike, the first stands for all."""
+    sure = np.flatnonzero(found >= HIGH)
+    first = sure[np.unique(roots[near[sure]], return_index=True)[1]]
+    return np.concatenate((first, np.flatnonzero(found < HIGH)))
+
+
+def _led(batches: Iterator[pa.RecordBatch], bits: int, leading: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of members of a key and those before them of its first `leading` that may be alike and are of other components.
+
+    Rows (key, weight, fp, root, size, common, signature) come sorted by key, the first members first. A pair is left
+    to the first band that both have in common.
+    """
+    key, seen = None, 0
+    for columns, long in whole_runs(batches, SIGNED_ROWS):
+        u, v, values = [], [], []
+        starts = run_starts(columns[0])
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(columns[0])).tolist()):
+            mine = [c[a:b] for c in columns[2:]]
+            fps, roots, size, common, own = mine
+            if not long or columns[0][a] != key:
+                key, seen, first = columns[0][a] if long else None, 0, [c[:leading] for c in mine]
+            elif seen < leading:
+                first = [np.concatenate((x, c[:leading - seen])) for x, c in zip(first, mine)]
+            lead_fps, lead_roots, lead_size, lead_common, theirs = first
+            keys = None
+            for i in range(len(fps)):
+                before = slice(min(seen + i, leading))
+                may = (lead_roots[before] != roots[i]) & reachable(size[i], lead_size[before], np.minimum(common[i], lead_common[before]))
+                near = np.flatnonzero(may)
+                if not len(near):
+                    continue
+                found = estimate(agreeing(theirs[near], own[i]))
+                near, found = near[found >= LOW], found[found >= LOW]
+                if not len(near):
+                    continue
+                if keys is None:
+                    keys, lead_keys = band_keys(own, bits), band_keys(theirs, bits)
+                here = (lead_keys[near] == keys[i]).argmax(axis=1) == columns[0][a] >> bits
+                near, found = near[here], found[here]
+                some = first_of_sure(near, found, lead_roots)
+                others = lead_fps[near[some]]
+                u.append(np.maximum(others, fps[i]))
+                v.append(np.minimum(others, fps[i]))
+                values.append(found[some])
+            seen += len(fps)
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, values)], ["u", "v", "estimate"])
+
+
 def _with_leaders(batches: Iterator[pa.RecordBatch], bits: int = KEY_BITS) -> Iterator[pa.RecordBatch]:
     """Pairs of a member (band, fp, root, signature) and those of its key's leaders that may be alike and are not in its component.
 
-    Members and leaders that have a size and a common number, too, meet only if these allow it.
     A pair is left to the first band that both have in common; of leaders of one component that are surely alike, the first stands for all.
     """
     for batch in batches:
@@ -293,21 +389,12 @@ def _with_leaders(batches: Iterator[pa.RecordBatch], bits: int = KEY_BITS) -> It
         flat = leaders.flatten()
         fps, roots = flat.field("fp").to_numpy(), flat.field("root").to_numpy()
         theirs = fingerprints(flat.field("signature"))
-        counted = "common" in batch.schema.names
-        if counted:
-            size, common = (batch.column(c).to_numpy() for c in ("size", "common"))
-            their_size, their_common = (flat.field(c).to_numpy() for c in ("size", "common"))
         for i, (band, fp, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "fp", "root")))):
             some = slice(offsets[i], offsets[i + 1])
             found = estimate(agreeing(theirs[some], own[i]))
-            may = (found >= LOW) & (roots[some] != root)
-            if counted:
-                may &= reachable(size[i], their_size[some], np.minimum(common[i], their_common[some]))
-            near = np.flatnonzero(may)
+            near = np.flatnonzero((found >= LOW) & (roots[some] != root))
             near = near[(band_keys(theirs[some][near], bits) == own_bands[i]).argmax(axis=1) == band]
-            sure = near[found[near] >= HIGH]
-            first = sure[np.unique(roots[some][sure], return_index=True)[1]]
-            near = np.concatenate((first, near[found[near] < HIGH]))
+            near = near[first_of_sure(near, found[near], roots[some])]
             others = fps[some][near]
             u.append(np.maximum(others, fp))
             v.append(np.minimum(others, fp))
@@ -337,17 +424,21 @@ def alike(near: DataFrame, texts: DataFrame) -> DataFrame:
     return written(sure.union(exact.where(F.col("likeness") >= SIMILAR).select("u", "v")), "alike")
 
 
-def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return nodes.withColumn("root", F.col("fp"))
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def _open(placed: DataFrame, few: int) -> DataFrame:
-    """The members of keys of several components, and whether their key has few members."""
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    sizes = sizes.where("least < most").select("key", (F.col("n") <= few).alias("few"))
-    return written(placed.join(sizes, "key"), "open")
+def _keyed(members: DataFrame, *columns: str) -> DataFrame:
+    """A row for each key of a member, sorted by key within the tasks, the members that share most keys first."""
+    rows = members.withColumn("key", F.explode("keys")).select("key", "weight", "fp", *columns)
+    return rows.repartition("key").sortWithinPartitions("key", F.desc("weight"), "fp")
+
+
+def still_open(members: DataFrame, skip: int) -> DataFrame:
+    """The members with those of their keys that hold several components even without their first `skip` members."""
+    rows = _keyed(members, "root").mapInArrow(released(partial(_open, skip=skip)), "key long, fp long")
+    keys = rows.groupBy("fp").agg(F.collect_list("key").alias("keys"))
+    return written(members.drop("keys").join(keys, "fp"), "open")
 
 
 def reach(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -361,51 +452,30 @@ def reach(members: DataFrame, texts: DataFrame) -> DataFrame:
     return counted.where(F.col("common") + 1e-6 >= SIMILAR * F.col("size"))
 
 
-def similar_roots(filed: DataFrame, nodes: DataFrame, texts: DataFrame, bits: int = KEY_BITS) -> DataFrame | None:
-    """(node, root) of the components of all pairs that share a key and are alike; None without a shared key.
+def similar_roots(members: DataFrame, texts: DataFrame, bits: int = KEY_BITS) -> DataFrame:
+    """(node, root) of the components of all pairs that share a key and are alike.
 
-    `filed` has (key, band, fp, weight), the keys being of `bits` bits, `nodes` (fp, signature), `texts` (fp, text).
+    `members` has (fp, weight, keys, largest, signature), the keys being of `bits` bits and `largest` one of them, `texts` (fp, text).
     """
-    roots, leading, counts = None, 1, []
+    most = F.max(F.struct("weight", (-F.col("fp")).alias("order"), "fp")).alias("x")
+    leaders = members.select("fp", "weight", F.explode("keys").alias("key")).groupBy("key").agg(most).select("key", F.col("x.fp").alias("leader"))
+    pairs = members.select("fp", F.col("largest").alias("key")).join(leaders, "key").where("fp <> leader")
+    pairs = pairs.select(F.greatest("fp", "leader").alias("u"), F.least("fp", "leader").alias("v")).distinct()
+    near = _with_both(pairs, members, "signature").mapInArrow(released(_estimates), ESTIMATE)
+    roots = written(components(alike(near, texts)), "roots")
+    skip, leading = 0, 1
     while True:
-        placed = written(_rooted(filed, roots), "members")
-        still = _open(placed, 2 if leading == 1 else FEW)
-        if still.isEmpty():
-            return roots
-        if roots is not None and not counts:
-            counts = ["size", "common"]
-            of_members = written(reach(still.select("fp", "root").distinct(), texts), "reach")
-            still = _open(still.drop("few").join(of_members, "fp"), FEW)
-            if still.isEmpty():
-                return roots
-        few, many = still.where("few").select("key", "fp", "root", *counts), still.where("not few").drop("few")
-        as_leader = few.withColumnsRenamed({"fp": "v", "root": "v_root", "size": "v_size", "common": "v_common"})
-        pairs = few.join(as_leader, "key").where("root <> v_root and fp > v")
-        if counts:
-            pairs = pairs.where(reachable(F.col("size"), F.col("v_size"), F.least("common", "v_common")))
-        pairs = pairs.select(F.col("fp").alias("u"), "v").distinct()
-        near = _with_both(pairs, nodes, "signature").mapInArrow(released(_estimates), ESTIMATE)
-        more = not many.isEmpty()
-        if more:
-            if leading == 1:
-                first = F.max(F.struct("weight", (-F.col("fp")).alias("order"), "fp", "root")).alias("x")
-                leaders = many.groupBy("key").agg(first).select("key", "x.fp", "x.root", F.lit(1).alias("rank"))
-            else:
-                rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), F.desc(-F.col("fp"))))
-                leaders = many.withColumn("rank", rank).where(F.col("rank") <= leading).select("key", "fp", "root", "rank", *counts)
-            leaders = written(leaders, "leaders")
-            part = F.floor((F.col("rank") - 1) / LEADERS)
-            signed = leaders.join(nodes, "fp").groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("fp", "root", "signature", *counts)).alias("leaders"))
-            led = many.join(nodes, "fp").join(signed, "key").select("band", "fp", "root", "signature", *counts, "leaders")
-            near = near.union(led.mapInArrow(released(partial(_with_leaders, bits=bits)), ESTIMATE))
-        links = alike(near, texts)
-        if roots is not None:
-            links = links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = written(components(links), "roots")
-        if not more:
+        members = still_open(written(_rooted(members, roots), "members"), skip)
+        if not skip and not members.isEmpty():
+            counts = written(reach(members.select("fp", "root"), texts), "reach")
+            members = still_open(members.join(counts, "fp"), skip)
+        if members.isEmpty():
             return roots
-        filed = many.drop("root").join(leaders.select("key", "fp"), ["key", "fp"], "left_anti")
-        leading = LEADERS if leading == 1 else 16 * leading
+        rows = _keyed(members, "root", "size", "common", "signature")
+        links = alike(rows.mapInArrow(released(partial(_led, bits=bits, leading=leading)), ESTIMATE), texts)
+        roots = written(components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
+        members = members.drop("root")
+        skip, leading = leading, LEADERS if leading == 1 else LEADERS_GROW * leading
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,13 +494,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = key_bits(sets)
     every = nodes.select("fp", "signature").mapInArrow(released(partial(_keys, bits=bits)), "key long, fp long, head long")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sets * len(band_places(bits)) // KEY_TASK)
-    met = every.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(released(_met), "key long, fp long")
-    met = written(met, "met")
-    filed = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("band", F.shiftright("key", bits).cast("int"))
-    weights = filed.groupBy("fp").agg(F.sum("n").alias("weight"))
-    filed = written(filed.join(weights, "fp").select("key", "band", "fp", "weight"), "filed")
-    wanted = nodes.join(weights.select("fp"), "fp", "left_semi").select("fp", "place", "text_key")
+    met = every.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(released(_met), "key long, fp long, n long")
+    most = F.max(F.struct("n", "key"))["key"].alias("largest")
+    members = met.groupBy("fp").agg(F.sum("n").alias("weight"), F.collect_list("key").alias("keys"), most)
+    members = written(members.join(nodes.select("fp", "signature"), "fp"), "met")
+    wanted = nodes.join(members.select("fp"), "fp", "left_semi").select("fp", "place", "text_key")
     texts = rows.select("text", place, "text_key").join(wanted, ["place", "text_key"]).select("fp", "text").dropDuplicates(["fp"])
-    roots = similar_roots(filed, nodes.select("fp", "signature"), written(texts, "texts"), bits)
+    roots = similar_roots(members, written(texts, "texts"), bits)
     placed = written(_rooted(nodes.select("fp", "least"), roots), "placed")
     return placed.groupBy("root").agg(F.min("least").alias("_kept")).where("_kept is not null").select("_kept").distinct()

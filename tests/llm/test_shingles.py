@@ -202,3 +202,58 @@ def test_members_out_of_reach_are_not_compared(spark):
             if roots[i] != roots[j]:
                 alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
                 assert S.reachable(got[i][0], got[j][0], min(got[i][1], got[j][1])) >= alike
+
+
+def batches_of(columns, names, cuts):
+    arrays = lambda a, b: [pa.array([x.tobytes() for x in c[a:b]], pa.binary()) if c.ndim == 2 else pa.array(c[a:b]) for c in columns]
+    return iter([pa.RecordBatch.from_arrays(arrays(a, b), names) for a, b in zip(cuts, cuts[1:])])
+
+
+def test_members_left_of_open_keys(monkeypatch):
+    """Keys of every size, long ones in parts: what is left without the first members, if it is of several components."""
+    monkeypatch.setattr(S, "RUN_ROWS", 40)
+    rng = np.random.default_rng(15)
+    keys = np.sort(np.concatenate((rng.integers(0, 60, 150), np.full(200, 70), np.full(170, 71), np.full(90, 72), np.full(45, 73))))
+    fps, roots = np.arange(len(keys)), rng.integers(0, 3, len(keys))
+    roots[keys == 71] = 5
+    roots[np.flatnonzero(keys == 72)] = 6
+    roots[np.flatnonzero(keys == 72)[-1]] = 7
+    for skip in (0, 1, 3, 64, 180):
+        want = []
+        for k in np.unique(keys):
+            left = np.flatnonzero(keys == k)[skip:]
+            if len(set(roots[left])) > 1:
+                want += [(int(k), int(i)) for i in left]
+        cuts = [0, *np.sort(rng.choice(len(keys), 25, replace=False)).tolist(), len(keys)]
+        found = S._open(batches_of([keys, fps * 0, fps, roots], ["key", "weight", "fp", "root"], cuts), skip)
+        assert sorted(x for b in found for x in zip(b.column("key").to_pylist(), b.column("fp").to_pylist())) == sorted(want)
+
+
+def test_leaders_of_sorted_keys(monkeypatch):
+    """Members meet those before them of the first of their key, once for all keys, whatever parts a key comes in."""
+    monkeypatch.setattr(S, "SIGNED_ROWS", 16)
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 2, S.BITS).astype(np.uint8)
+    signs = np.packbits(base ^ (rng.random((60, S.BITS)) < rng.choice([0.005, 0.1, 0.3], 60)[:, None]).astype(np.uint8), axis=1)
+    bands = S.band_keys(signs)
+    roots, size = np.arange(60) // 2, np.full(60, 100)
+    common = np.where(rng.random(60) < 0.3, 70, 100)
+    rows = sorted((int(k), i) for i in range(60) for k in bands[i])
+    keys, at = (np.array(x) for x in zip(*rows))
+    columns = [keys, at * 0, at, roots[at], size[at], common[at], signs[at]]
+    names = ["key", "weight", "fp", "root", "size", "common", "signature"]
+    for leading in (1, 5, 64):
+        want = set()
+        for i in range(60):
+            for j in range(i):
+                shared = np.flatnonzero(bands[i] == bands[j])
+                near = S.estimate(S.agreeing(signs[i:i + 1], signs[j:j + 1]))[0]
+                if len(shared) and near >= S.LOW and roots[i] != roots[j] and min(common[i], common[j]) > 90:
+                    if (bands[:j, shared[0]] == bands[i, shared[0]]).sum() < leading:
+                        want.add((i, j, near >= S.HIGH))
+        cuts = [*range(0, len(keys), 7), len(keys)]
+        found = [x for b in S._led(batches_of(columns, names, cuts), S.KEY_BITS, leading) for x in zip(*(c.to_pylist() for c in b.columns))]
+        got = {(u, v, x >= S.HIGH) for u, v, x in found}
+        assert len(got) == len(found) and got <= want
+        assert {x[:2] for x in want if not x[2]} == {x[:2] for x in got if not x[2]}
+        assert {(i, roots[j]) for i, j, sure in want if sure} == {(i, roots[j]) for i, j, sure in got if sure}
