@@ -179,11 +179,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _keys(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = fingerprints(batch.column("signature"))
-        found = band_keys(rows, bits)
-        each = found.shape[1]
-        columns = [pa.array(found.ravel()), pa.array(np.repeat(batch.column("fp").to_numpy(), each)), pa.array(np.repeat(heads(rows), each))]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "head"])
+        rows, fps = fingerprints(batch.column("signature")), batch.column("fp").to_numpy()
+        for at in range(0, len(rows), KEY_ROWS):
+            some = slice(at, at + KEY_ROWS)
+            found = band_keys(rows[some], bits)
+            each = found.shape[1]
+            columns = [pa.array(found.ravel()), pa.array(np.repeat(fps[some], each)), pa.array(np.repeat(heads(rows[some]), each))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "head"])
 
 
 def run_starts(values: np.ndarray) -> np.ndarray:
@@ -303,14 +305,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, size, common): shingles of a node and those of them that another component has too, summed over some rows."""
+    """(fp, common) of each row (shingle, fp, root), sorted by shingle: 1 if another component has the shingle too, else 0."""
     for (shingles, fps, roots), long in whole_runs(batches):
         starts = run_starts(shingles)
         several = (np.minimum.reduceat(roots, starts) < np.maximum.reduceat(roots, starts)) | long  # a part may hold one component only
-        nodes, place = np.unique(fps, return_inverse=True)
-        common = np.repeat(several, np.diff(np.append(starts, len(fps))))
-        columns = [nodes, np.bincount(place, minlength=len(nodes)), np.bincount(place[common], minlength=len(nodes))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "size", "common"])
+        common = np.repeat(several, np.diff(np.append(starts, len(fps)))).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(common)], ["fp", "common"])
 
 
 def reachable(size, other, common):
@@ -447,8 +447,8 @@ def reach(members: DataFrame, texts: DataFrame) -> DataFrame:
     `size` counts a member's shingles, `common` those that a member of another component has too.
     """
     every = texts.join(members, "fp").mapInArrow(released(_shingles), "shingle long, fp long, root long")
-    counted = every.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(released(_common), "fp long, size long, common long")
-    counted = counted.groupBy("fp").agg(F.sum("size").alias("size"), F.sum("common").alias("common"))
+    counted = every.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(released(_common), "fp long, common long")
+    counted = counted.groupBy("fp").agg(F.count("*").alias("size"), F.sum("common").alias("common"))
     return counted.where(F.col("common") + 1e-6 >= SIMILAR * F.col("size"))
 
 
@@ -467,8 +467,7 @@ def similar_roots(members: DataFrame, texts: DataFrame, bits: int = KEY_BITS) ->
     while True:
         members = still_open(written(_rooted(members, roots), "members"), skip)
         if not skip and not members.isEmpty():
-            counts = written(reach(members.select("fp", "root"), texts), "reach")
-            members = still_open(members.join(counts, "fp"), skip)
+            members = written(members.join(reach(members.select("fp", "root"), texts), "fp"), "reach")
         if members.isEmpty():
             return roots
         rows = _keyed(members, "root", "size", "common", "signature")
