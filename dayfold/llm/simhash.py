@@ -134,7 +134,8 @@ def close_links(fps: DataFrame) -> DataFrame:
         key = [F.col("mask"), F.col("fp").bitwiseAND(F.col("mask")).alias("part")]
         filed = filed.select("fp", *key)
         shared = filed.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
-        shared = written(filed.join(shared, ["mask", "part"]), "blocks")
+        # without the hint one side may be sent to the driver: its size is taken from before the explode
+        shared = written(filed.join(shared.hint("merge"), ["mask", "part"]), "blocks")
         light = shared.where(F.col("n") <= BUCKET).groupBy("mask", "part").agg(F.collect_list("fp").alias("fps"))
         found = light.select("fps").mapInArrow(_links, "u long, v long")
         links = found if links is None else links.union(found)
@@ -163,11 +164,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(close_links(nodes.select("fp")))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # the hints: compressed files look far smaller than the rows that a broadcast would bring to the driver
+    placed = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = written(placed, "placed")  # so that a large component is summed before it is shuffled, and its join can be split
     least = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    named = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    named = placed.join(least.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(named.hint("merge"), "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:

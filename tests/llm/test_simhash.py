@@ -83,3 +83,22 @@ def test_one_per_group(frame):
     ids = sorted(r.doc_id for r in kept.where("doc_id is not null").collect())
     assert len(ids) == len(set(ids)) and 43 not in ids and 1 in ids and 41 not in ids and 40 in ids
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_no_table_that_grows_with_the_documents_is_broadcast(spark, monkeypatch):
+    """Blocks are 35 rows from each fingerprint, but their size is taken from before the explode, and files are compressed."""
+    plans = {}
+
+    def kept(df, name, write=S.written):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(S, "written", kept)
+    words = ["alpha", "beta", "gamma", "delta", "eta", "iota"]
+    texts = [(i, " ".join(words[(i * i + j * (i % 5)) % 6] for j in range(9))) for i in range(60)]
+    found = S.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert found.count() == 60
+    plans["result"] = found._jdf.queryExecution().executedPlan().toString()
+    for name in ("blocks", "placed", "components", "result"):
+        assert "Broadcast" not in plans[name], name
+    assert all("SortMergeJoin" in plans[name] for name in ("blocks", "placed", "result"))
