@@ -139,4 +139,4 @@ def ordered_subject_statistics(spark, folder):
     """The subject as an ordered target statistic for every target and held-out fold."""
     train = labels(spark, folder, "train")
     folds = V.stratified_folds(train, FOLDS, _seeds[:1]).select(*KEYS, "target", "fold_id")
-    return O.ordered_statistics(train.join(folds, [*KEYS, "target"]), FOLDS)
+    return O.ordered_statistics(train.join(folds.hint("merge"), [*KEYS, "target"]), FOLDS)  # as many folds as labels: not to be broadcast

@@ -28,7 +28,8 @@ def sums_before(df: DataFrame, group: list[str], digest: str, values: dict[str,
     offsets = totals.select(*group, "__slice", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in values])
     local = Window.partitionBy(*group, "__slice").orderBy(digest).rowsBetween(Window.unboundedPreceding, -1)
     placed = sliced.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"__l_{n}") for n, v in values.items()])
-    joined = placed.join(offsets, [*group, "__slice"])
+    # nearly as many slices as rows, but Spark sizes them by what was before the permutations: not to be broadcast
+    joined = placed.join(offsets.hint("merge"), [*group, "__slice"])
     return joined.select(*df.columns, *[(F.col(f"__o_{n}") + F.col(f"__l_{n}")).alias(n) for n in values])
 
 
@@ -60,7 +61,7 @@ def ordered_statistics(
     mean = lambda h: F.try_divide(_others("any_s", h, folds).cast("double"), _others("any_n", h, folds))
     value = lambda s, n, h: (_others(s, h, folds) + m * mean(h)) / (_others(n, h, folds) + m)
     ordered = rows.groupBy(*KEYS, "target", "fold_id", category).agg(*[F.avg(value("s", "n", h)).alias(f"held_{h}") for h in range(folds)])
-    joined = ordered.join(totals, ["target", category]).join(whole, "target")
+    joined = ordered.join(totals.hint("merge"), ["target", category]).join(whole, "target")
     own = [F.when(F.col("fold_id") == h, value("all_s", "all_n", h)).otherwise(F.col(f"held_{h}")).alias(f"held_{h}") for h in range(folds)]
     return joined.select(*KEYS, "target", "fold_id", *own)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import all_queries
 from dayfold import session
+from dayfold.operators import ordered
 from dayfold.operators.runs import run_statistics, slice_summaries
 from tests.conftest import DATA
 
@@ -50,3 +51,20 @@ def test_frames_are_stored_side_by_side(spark):
     stored = session.cut_side_by_side(frames)
     assert [sorted(map(tuple, s.collect())) for s in stored] == [sorted(map(tuple, f.collect())) for f in frames]
     assert [s.dtypes for s in stored] == [f.dtypes for f in frames] and session.cut_side_by_side([]) == []
+
+
+def test_ordered_statistics_broadcast_no_rows(spark, monkeypatch):
+    """Slices and folds are about as many as labels, but Spark's estimates are of what was before they were multiplied."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return session.cut_lineage(df)
+
+    monkeypatch.setattr(ordered, "cut_lineage", kept)
+    found = all_queries()["ordered_subject_statistics"].spark(spark, DATA)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    joins = [line for text in plans for line in text.split("\n") if "Join" in line]
+    of = lambda kind, key: [x for x in joins if kind in x and key in x]
+    assert len(of("SortMergeJoin", "sleep_date")) == 1 and len(of("SortMergeJoin", "__slice")) == 1 and len(of("SortMergeJoin", "subject_id")) == 3
+    assert not of("BroadcastHashJoin", "subject_id")
