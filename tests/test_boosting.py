@@ -4,6 +4,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from dayfold.operators import boosting as B
@@ -86,3 +87,18 @@ def test_ordered_statistics_by_definition(spark):
     mine = next(r for r in rows if r[0] == "s2")
     assert only[f"held_{mine[5]}"] == pytest.approx(want[mine[:3] + (mine[5],)])
     assert O.ordered_statistics(spark.createDataFrame([], LABELS), 2).count() == 0
+
+
+def test_fits_keep_the_cores_busy(spark, monkeypatch):
+    """A fit of as many tasks as there are cores, or more, is not alone; fits of one task are as many as cores."""
+    sizes, pool = [], B.ThreadPool
+    monkeypatch.setattr(B, "ThreadPool", lambda n: sizes.append(n) or pool(n))
+    monkeypatch.setattr(B, "TASK_ROWS", 1)
+    rows = [(*key(0, i), "train", i % 2, float(i)) for i in range(20)]
+    frame = spark.createDataFrame(rows, "subject_id string, sleep_date date, lifelog_date date, split string, A int, x double")
+    none = spark.createDataFrame([], "subject_id string, sleep_date date, lifelog_date date, target string, seed int, fold_id int")
+    with pytest.raises(AnalysisException):  # nothing is fitted, so there are no predictions to read
+        B.early_stopped_trees(frame, none, {"A": ["x"]}, [1], {})[0].collect()
+    assert sizes == [2]
+    monkeypatch.setattr(B, "TASK_ROWS", 50)
+    assert [B.fits_at_a_time(*x) for x in ((6, 0), (6, 50), (6, 51), (6, 600), (600, 6000))] == [6, 6, 3, 2, 5]
